@@ -65,13 +65,13 @@ def _pairs(k: int) -> list[tuple[int, int]]:
 
 def _sums(rows: DataFrame, groups: list[str], k: int, weight: Column, residual: Column) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
     r = rows.withColumns({"_w": weight, "_r": residual})
-    agg = [F.sum(F.col("_w") * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"i{i}_{j}") for i, j in _pairs(k)] + [F.sum(F.col("_r") * F.col(f"_x{j}")).alias(f"u{j}") for j in range(k)]
+    agg = [F.sum(F.col("_w") * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_i{i}_{j}") for i, j in _pairs(k)] + [F.sum(F.col("_r") * F.col(f"_x{j}")).alias(f"_u{j}") for j in range(k)]
     out = {}
     for row in (r.groupBy(*groups).agg(*agg) if groups else r.agg(*agg)).collect():
         info = np.zeros((k, k))
         for i, j in _pairs(k):
-            info[i, j] = info[j, i] = row[f"i{i}_{j}"]
-        out[tuple(row[g] for g in groups)] = (info, np.array([row[f"u{j}"] for j in range(k)]))
+            info[i, j] = info[j, i] = row[f"_i{i}_{j}"]
+        out[tuple(row[g] for g in groups)] = (info, np.array([row[f"_u{j}"] for j in range(k)]))
     return out
 
 
@@ -81,8 +81,8 @@ def _p(eta: Column) -> Column:
 
 def _newton(rows: DataFrame, groups: list[str], k: int, params: FitParams, firth: bool) -> dict[tuple, dict]:
     """Each group's beta, inverse information and whether it converged. Groups are fitted together, step by step."""
-    first = rows.groupBy(*groups).agg(F.count("*").alias("n"), F.avg("_y").alias("m")) if groups else rows.agg(F.count("*").alias("n"), F.avg("_y").alias("m"))
-    state = {tuple(r[g] for g in groups): {"n": r["n"], "mean": r["m"], "beta": np.zeros(k), "ok": False, "dead": r["n"] == 0} for r in first.limit(params.max_groups + 1).collect()}
+    first = rows.groupBy(*groups).agg(F.count("*").alias("_n"), F.avg("_y").alias("_mean")) if groups else rows.agg(F.count("*").alias("_n"), F.avg("_y").alias("_mean"))
+    state = {tuple(r[g] for g in groups): {"n": r["_n"], "mean": r["_mean"], "beta": np.zeros(k), "ok": False, "dead": r["_n"] == 0} for r in first.limit(params.max_groups + 1).collect()}
     if len(state) > params.max_groups:
         raise ValueError(f"more than {params.max_groups} groups")
     inverse: dict[tuple, np.ndarray] = {}
@@ -158,14 +158,14 @@ def _empty(group, names, n, status) -> list[tuple]:
 def _meat(rows: DataFrame, groups: list[str], k: int, betas: dict) -> dict[tuple, tuple[np.ndarray, int]]:
     """Sum over clusters of the outer product of their scores, and the number of clusters."""
     scored = rows.withColumn("_r", F.col("_y") - _p(_linear(betas, groups, k)))
-    per = scored.groupBy(*groups, "_c").agg(*[F.sum(F.col("_r") * F.col(f"_x{j}")).alias(f"s{j}") for j in range(k)])
-    agg = [F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i, j in _pairs(k)] + [F.count("*").alias("g")]
+    per = scored.groupBy(*groups, "_c").agg(*[F.sum(F.col("_r") * F.col(f"_x{j}")).alias(f"_s{j}") for j in range(k)])
+    agg = [F.sum(F.col(f"_s{i}") * F.col(f"_s{j}")).alias(f"_m{i}_{j}") for i, j in _pairs(k)] + [F.count("*").alias("_clusters")]
     out = {}
     for row in (per.groupBy(*groups).agg(*agg) if groups else per.agg(*agg)).collect():
         m = np.zeros((k, k))
         for i, j in _pairs(k):
-            m[i, j] = m[j, i] = row[f"m{i}_{j}"]
-        out[tuple(row[g] for g in groups)] = (m, row["g"])
+            m[i, j] = m[j, i] = row[f"_m{i}_{j}"]
+        out[tuple(row[g] for g in groups)] = (m, row["_clusters"])
     return out
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.digest import dummy_generation
 from ..functions.text import is_match, parse_choice, parse_response, render, selected_source
@@ -32,7 +32,7 @@ def generate(inputs: DataFrame, adapter: Adapter | None = None, prompt: str = "p
     """
     if adapter is None:
         return inputs.withColumn(out, dummy_generation(prompt))
-    schema = inputs.schema.add(out, "string")
+    schema = T.StructType([*inputs.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = adapter()
