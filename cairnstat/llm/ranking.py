@@ -1,13 +1,15 @@
 """Problem 1: one global ranking from pairwise outcomes by skew-symmetric spectral ranking.
 
 Margins are shrunken log odds of each pair, one skew-symmetric matrix M with most pairs
-missing. The ranking is read from the leading singular plane of M completed by its own
+missing; a compared pair's weight is normalised by the square roots of its items' total
+weights, so that neither much-compared items nor few-compared ones rule the plane. The ranking is read from the leading singular plane of M completed by its own
 rank-two fit ``s 1' - 1 s'``. The completed matrix is never formed: its product with a
 vector is the sparse residual on compared pairs, summed by a Spark job over the edge
 table, plus the product of the fit. Lanczos on that operator gives the plane, its
 projection gives s, and s is oriented towards agreement with the outcomes. The outer
-iteration runs to its fixed point with Anderson acceleration; pairs at odds with the
-rest lose weight by Tukey's biweight.
+iteration runs to its fixed point with Anderson acceleration. Pairs at odds with the rest
+lose weight: first by Huber's rule, near to least absolute residuals, which a single pair
+across the ranking can't bend, then by Tukey's biweight.
 
 Distributed: rows -> pair totals (partial aggregation, so a hot pair is one row per task)
 -> edge table in the shared folder -> one aggregation job per Lanczos step.
@@ -37,10 +39,13 @@ RANKING_SCHEMA = T.StructType(
 
 @dataclass(frozen=True)
 class RankingParams:
-    lanczos_steps: int = 4
-    max_outer: int = 60
+    lanczos_steps: int = 5
+    max_outer: int = 150
     tolerance: float = 1e-3
-    reweightings: int = 6
+    loose: float = 5e-3
+    reweightings: int = 10
+    huber_rounds: int = 7
+    huber: float = 0.3
     extra_variance: float = 0.02
     biweight: float = 4.685
     memory: int = 6
@@ -107,7 +112,7 @@ class _Edges:
     def __init__(self, edges: DataFrame, n: int):
         self.df, self.n = edges, n
 
-    def sums(self, s: np.ndarray, v: np.ndarray, scale: float | None, biweight: float) -> np.ndarray:
+    def sums(self, s: np.ndarray, v: np.ndarray, keep) -> np.ndarray:
         """Product of the weighted residual matrix with v."""
         n = self.n
 
@@ -116,7 +121,7 @@ class _Edges:
             for b in batches:
                 i, j = b["i"].to_numpy(), b["j"].to_numpy()
                 gap = b["margin"].to_numpy() - (s[i] - s[j])
-                r = b["weight"].to_numpy() * _bisquare(gap, b["precision"].to_numpy(), scale, biweight) * gap
+                r = b["weight"].to_numpy() * keep(np.abs(gap) * np.sqrt(b["precision"].to_numpy())) * gap
                 total += np.bincount(i, r * v[j], n) - np.bincount(j, r * v[i], n)
             at = np.flatnonzero(total)
             yield pd.DataFrame({"k": at, "x": total[at]})
@@ -145,23 +150,28 @@ class _Edges:
         return float(self.df.mapInPandas(run, "c double").agg(F.sum("c")).first()[0] or 0.0)
 
 
-def _bisquare(gap, precision, scale, biweight):
-    if scale is None:
-        return 1.0
-    u = np.minimum(np.abs(gap) * np.sqrt(precision) / (biweight * scale), 1.0)
-    return (1.0 - u * u) ** 2 + 1e-6
+def _weight(done: int, scale: float, p: RankingParams):
+    """How much of its weight a pair keeps, by its standardised residual."""
+    if not done:
+        return lambda z: 1.0
+    if done <= p.huber_rounds:
+        return lambda z: np.minimum(1.0, p.huber * scale / np.maximum(z, 1e-12))
+    return lambda z: (1.0 - np.minimum(z / (p.biweight * scale), 1.0) ** 2) ** 2 + 1e-6
 
 
 def spectral_strengths(edges: DataFrame, n: int, params: RankingParams = RankingParams()) -> np.ndarray:
     """Strength of items 0..n-1 in log odds, centred at zero."""
-    job, p = _Edges(edges, n), params
+    return _strengths(_Edges(edges, n), n, params)
+
+
+def _strengths(job, n: int, p: RankingParams) -> np.ndarray:
     ones = np.ones(n)
-    s, scale, done, xs, gs = np.zeros(n), None, 0, [], []
+    s, scale, done, xs, gs, last = np.zeros(n), 1.0, 0, [], [], np.inf
     for _ in range(p.max_outer):
-        fit = s
+        fit, keep = s, _weight(done, scale, p)
 
         def product(v):
-            return job.sums(fit, v, scale, p.biweight) + fit * v.sum() - ones * (fit @ v)
+            return job.sums(fit, v, keep) + fit * v.sum() - ones * (fit @ v)
 
         plane, sigma = _lanczos_plane(product, ones, p.lanczos_steps)
         if sigma == 0.0:
@@ -175,16 +185,20 @@ def spectral_strengths(edges: DataFrame, n: int, params: RankingParams = Ranking
         new = q * sigma / np.sqrt(n)
         new -= new.mean()
         step = float(np.max(np.abs(new - fit)))
+        # a step that grows shows that the extrapolation went astray: begin it anew
+        if step > 1.5 * last:
+            xs, gs = [], []
+        last = step
         xs, gs = [*xs, fit][-p.memory - 1 :], [*gs, new][-p.memory - 1 :]
         s = new
         if len(xs) > 1:
             g, f = np.array(gs), np.array(gs) - np.array(xs)
             theta = np.linalg.lstsq(np.diff(f, axis=0).T, f[-1], rcond=1e-8)[0]
             s = g[-1] - np.diff(g, axis=0).T @ theta
-        if step < (0.02 if done < p.reweightings else p.tolerance):
+        if step < (p.loose if done < p.reweightings else p.tolerance):
             if done >= p.reweightings:
                 break
-            scale, done, xs, gs = job.spread(s), done + 1, [], []
+            scale, done, xs, gs, last = job.spread(s), done + 1, [], [], np.inf
     return s if job.agreement(s) >= 0 else -s
 
 
@@ -205,14 +219,17 @@ def rank_items(stats: DataFrame, params: RankingParams = RankingParams(), id_col
         raise ValueError(f"{n} items; the vectors of the ranking are bounded by {params.max_items}")
     if n == 0:
         return labels.select("label", F.lit(None).cast("double").alias("strength"), F.lit(None).cast("int").alias("strength_rank"), F.lit(0).cast("long").alias("comparisons"), F.lit(0).cast("long").alias("opponents"))
-    index = materialize(known.select("label", (F.row_number().over(W.orderBy("label")) - 1).cast("long").alias("k")), "items")
+    index = known.select("label", (F.row_number().over(W.orderBy("label")) - 1).cast("long").alias("k"))
     x, y = F.col("a_wins") + 0.5, F.col("b_wins") + 0.5
     precision = 1.0 / (1.0 / x + 1.0 / y)
     flat = 1.0 / (1.0 / precision + params.extra_variance)
+    flat_pairs = pairs.select("a", "b", flat.alias("w"))
+    degree = flat_pairs.select(F.explode(F.array("a", "b")).alias("label"), "w").groupBy("label").agg(F.sum("w").alias("d"))
+    index = materialize(index.join(degree, "label"), "items")
     edges = (
-        pairs.join(index.select(F.col("label").alias("a"), F.col("k").alias("i")), "a")
-        .join(index.select(F.col("label").alias("b"), F.col("k").alias("j")), "b")
-        .select("i", "j", F.log(x / y).alias("margin"), flat.alias("precision"), (flat * params.extra_variance).alias("weight"))
+        pairs.join(index.select(F.col("label").alias("a"), F.col("k").alias("i"), F.col("d").alias("di")), "a")
+        .join(index.select(F.col("label").alias("b"), F.col("k").alias("j"), F.col("d").alias("dj")), "b")
+        .select("i", "j", F.log(x / y).alias("margin"), flat.alias("precision"), (F.lit(float(n)) * flat / (2 * F.sqrt(F.col("di") * F.col("dj")))).alias("weight"))
     )
     edges = materialize(edges.coalesce(max(1, pairs.count() // params.rows_per_task)), "edges")
     strengths = spectral_strengths(edges, n, params)
@@ -222,7 +239,7 @@ def rank_items(stats: DataFrame, params: RankingParams = RankingParams(), id_col
         .groupBy("e.label")
         .agg(F.sum("c").alias("comparisons"), F.count("*").alias("opponents"))
     )
-    ranked = index.join(scored, "k").withColumn("strength_rank", F.row_number().over(W.orderBy(F.desc("strength"), "label")))
+    ranked = index.select("label", "k").join(scored, "k").withColumn("strength_rank", F.row_number().over(W.orderBy(F.desc("strength"), "label")))
     return (
         labels.join(ranked, "label", "left")
         .join(held, "label", "left")
