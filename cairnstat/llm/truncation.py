@@ -46,7 +46,7 @@ KEYS = ["model_key", "run_id", "max_new_tokens"]
 class TruncationParams:
     window: int = 5
     false_discovery: float = 0.01
-    excess: float = 0.6
+    excess: float = 0.5
     wall: float = 0.5
     least: int = 5
 
@@ -98,7 +98,7 @@ def length_table(feats: DataFrame) -> DataFrame:
 
 
 def _hazards(counts: DataFrame, groups: list[str], window: int) -> DataFrame:
-    """For each length that occurs: n, at_risk, and the neighbours' near_n, near_risk within the window."""
+    """For each length that occurs: n, at_risk, the neighbours' near_n, near_risk within the window, and last_n of the length one less."""
     by = W.partitionBy(*groups)
     rows = counts.withColumn("at_risk", F.sum("n").over(by.orderBy(F.desc("length")).rowsBetween(W.unboundedPreceding, W.currentRow)))
     # lengths that no response has are neighbours too: as many as a window can reach
@@ -106,7 +106,7 @@ def _hazards(counts: DataFrame, groups: list[str], window: int) -> DataFrame:
     rows = rows.withColumn("at", F.explode(F.sequence("first", "length"))).drop("first").withColumn("n", F.when(F.col("at") == F.col("length"), F.col("n")).otherwise(F.lit(0)))
     near = by.orderBy("at").rangeBetween(-window, window)
     return (
-        rows.withColumns({"near_n": F.sum("n").over(near) - F.col("n"), "near_risk": F.sum("at_risk").over(near) - F.col("at_risk")})
+        rows.withColumns({"near_n": F.sum("n").over(near) - F.col("n"), "near_risk": F.sum("at_risk").over(near) - F.col("at_risk"), "last_n": F.coalesce(F.lag("n").over(by.orderBy("at")), F.lit(0))})
         .where(F.col("at") == F.col("length"))
         .drop("at")
     )
@@ -158,10 +158,9 @@ def truncated(records: DataFrame, params: TruncationParams = TruncationParams())
     groups = ["scope", *KEYS, "kind", "unit"]
     whole = length_table(feats.where("not broken")).where("scope = 'limit'")
     by_kind = _hazards(whole.groupBy(*groups, "length").agg(F.sum("n").alias("n")), groups, params.window)
-    expected = F.col("at_risk") * (F.col("near_n") + 0.5) / (F.col("near_risk") + 1.0)
-    # where a limit ends all, the lengths just below it tell what is to be expected, not their hazard
-    level = F.col("near_n") / F.lit(float(params.window))
-    excess = by_kind.where(F.col("n") >= params.least).where(F.least(expected, level) <= (1 - params.excess) * F.col("n"))
+    # a wall ends all, so the lengths just below it tell what is to be expected, not their hazard
+    level = F.greatest(F.col("near_n") / F.lit(float(params.window)), F.col("last_n").cast("double"))
+    excess = by_kind.where(F.col("n") >= params.least).where(level <= (1 - params.excess) * F.col("n"))
     significant = table.where("scope = 'limit'").join(excess.select(F.col("max_new_tokens").alias("e_limit"), "kind", F.col("unit").alias("e_unit"), F.col("length").alias("e_length")), (F.col("max_new_tokens").eqNullSafe(F.col("e_limit"))) & (F.col("unit") == F.col("e_unit")) & (F.col("length") == F.col("e_length")))
     excess_at = significant.where("unit = 'pieces'").select(F.col("max_new_tokens").alias("e_limit"), F.col("kind").alias("e_kind"), F.col("length").alias("e_length")).distinct()
 
