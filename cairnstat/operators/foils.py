@@ -37,9 +37,13 @@ def draw_foils(items: DataFrame, seed: int = 42, relation: str = "prop", obj: st
     the first object of the ring that is none, so no item is lost.
     """
     index = relation_index(items, relation, obj, id_col)
-    ring = W.partitionBy("relation").orderBy("place", "form")
-    objects = index.withColumn("place", sha256(F.concat_ws("|", F.lit("ring"), F.lit(str(seed)), "relation", "form"))).withColumn("pos", F.row_number().over(ring) - 1)
-    sized = objects.groupBy("relation").agg(F.count("*").alias("n"))
+    # a relation's ring is cut into 4096 arcs by the hash, so no relation is one window
+    placed = index.withColumn("place", sha256(F.concat_ws("|", F.lit("ring"), F.lit(str(seed)), "relation", "form"))).withColumn("arc", F.substring("place", 1, 3))
+    arcs = placed.groupBy("relation", "arc").agg(F.count("*").alias("c"))
+    over = W.partitionBy("relation")
+    offsets = arcs.select("relation", "arc", F.coalesce(F.sum("c").over(over.orderBy("arc").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    objects = placed.withColumn("rank", F.row_number().over(W.partitionBy("relation", "arc").orderBy("place", "form"))).join(offsets, ["relation", "arc"]).withColumn("pos", F.col("rank") + F.col("offset") - 1)
+    sized = arcs.groupBy("relation").agg(F.sum("c").alias("n"))
     right = alias_set(obj, aliases)
     own = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item_id"), F.col(relation).alias("relation"), right.alias("right"))
     start = F.pmod(F.conv(F.substring(sha256(F.concat_ws("|", F.lit(str(seed)), "item_id")), 1, 12), 16, 10).cast("bigint"), F.col("n"))

@@ -7,21 +7,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from ..session import materialize
+from .frequencies import linear_quantiles, order_statistics
+
 LABELS = ("low", "medium", "high")
 
 
 def edges(df: DataFrame, groups: list[str], value: str, bins: int = 3) -> DataFrame:
-    """WIN1: groups, edges, n: the value at index round(i / bins (n - 1)), halves to even, for i = 1 .. bins - 1.
-
-    Equal values are reduced to counts first, so a group of any size is a window over its
-    distinct values; the index is looked up in the running counts.
-    """
-    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*groups, value).agg(F.count("*").alias("_c"))
-    by = W.partitionBy(*groups)
-    run = counts.withColumns({"_upto": F.sum("_c").over(by.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)), "_n": F.sum("_c").over(by)})
-    index = lambda i: F.bround(F.lit(i) / F.lit(float(bins)) * (F.col("_n") - 1)).cast("bigint")
-    at = [F.max(F.when((index(i) >= F.col("_upto") - F.col("_c")) & (index(i) < F.col("_upto")), F.col(value))) for i in range(1, bins)]
-    return run.groupBy(*groups).agg(F.array(*at).alias("edges"), F.max("_n").alias("n"))
+    """WIN1: groups, edges, n: the value at index round(i / bins (n - 1)), halves to even, for i = 1 .. bins - 1."""
+    index = [lambda n, i=i: F.bround(F.lit(i) / F.lit(float(bins)) * (n - 1)).cast("bigint") for i in range(1, bins)]
+    found = order_statistics(df, groups, value, index)
+    return found.select(*groups, F.col("found").alias("edges"), "n")
 
 
 def assign(value: str | Column, edge_array: str | Column, labels: tuple[str, ...] = LABELS) -> Column:
@@ -56,18 +52,17 @@ def blocks(df: DataFrame, id_col: str, size: int = 250, ceiling: int | None = No
     """EXP7, LIM1: rows numbered in the order of their ids as text and cut into blocks of ``size``, up to a ceiling.
 
     With groups the numbering is a window per group. Without, ranks are global: rows are
-    counted per range of ids and each range is numbered from its offset, so no task holds
-    all rows.
+    sorted into ranges of ids and each range is numbered from the count of the lower ones,
+    so no task holds all rows.
     """
     ident = F.col(id_col).cast("string")
     if groups:
         rn = df.withColumn("row_no", F.row_number().over(W.partitionBy(*groups).orderBy(ident)))
     else:
-        # the range of an id: the leading hex digit pairs of its UTF-8 bytes keep its order
-        keyed = df.withColumn("_range", F.substring(F.hex(F.encode(ident, "UTF-8")), 1, 8))
-        sums = keyed.groupBy("_range").agg(F.count("*").alias("_c"))
-        offsets = sums.select("_range", F.coalesce(F.sum("_c").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-        rn = keyed.join(offsets, "_range").withColumn("row_no", F.row_number().over(W.partitionBy("_range").orderBy(ident)) + F.col("_o")).drop("_range", "_o")
+        ranged = df.withColumn("_id", ident).repartitionByRange("_id").withColumn("_part", F.spark_partition_id())
+        ranged = materialize(ranged, "ranges")
+        offsets = ranged.groupBy("_part").agg(F.count("*").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+        rn = ranged.join(offsets, "_part").withColumn("row_no", F.row_number().over(W.partitionBy("_part").orderBy("_id")) + F.col("_o")).drop("_part", "_o", "_id")
     out = rn.withColumn("block_index", F.floor((F.col("row_no") - 1) / size).cast("int"))
     return out if ceiling is None else out.where(F.col("row_no") <= ceiling)
 
@@ -92,9 +87,8 @@ def first_block_met(supply: DataFrame, groups: list[str], cells: int, least: int
 
 def quantile_bins(df: DataFrame, groups: list[str], value: str, outcome: str, bins: int = 4) -> DataFrame:
     """WIN7: mean value and outcome rate in bins at linear quantiles, the last bin closed; groups of fewer rows than bins left out."""
-    probs = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    cuts = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.percentile(value, probs).alias("_q"), F.count("*").alias("_n")).where(F.col("_n") >= bins).drop("_n")
+    cuts = linear_quantiles(df, groups, value, [k / bins for k in range(1, bins)]).where(F.col("n") >= bins).select(*groups, "quantiles")
     inner = F.lit(0)
-    for k in range(1, bins):
-        inner = inner + (F.col(value) >= F.col("_q")[k]).cast("int")
+    for k in range(bins - 1):
+        inner = inner + (F.col(value) >= F.col("quantiles")[k]).cast("int")
     return df.where(F.col(value).isNotNull()).join(cuts, groups).withColumn("bin", inner).groupBy(*groups, "bin").agg(F.count("*").alias("n"), F.avg(value).alias("mean_value"), F.avg(F.col(outcome).cast("int")).alias("rate"))
