@@ -3,9 +3,10 @@
 Rows are reduced to (group, value, count) before anything is sorted, so a value that a
 third of all rows share is one row. The values are cut into ranges at quantiles of the
 whole column; each (group, range) cell is sorted and summed by a window of its own, the
-totals of the lower ranges are added as offsets, and a percentile is the first value
-whose cumulative count reaches its target. No group is ever gathered in one task: a cell
-holds at most about 1/1024 of the distinct values of the column.
+totals of the lower ranges are added as offsets (:mod:`cairnstat.operators.frequencies`),
+and a percentile is the first value whose cumulative count reaches its target. No group
+is ever gathered in one task: a cell holds at most about 1/1024 of the distinct values of
+the column.
 
 Frequency tables of days, blocks or partitions add up (``merge_frequencies``) and stay
 exact. ``summarize`` shortens each group's table to about 1/epsilon points; ranks read
@@ -18,13 +19,11 @@ rows. Group columns may have any names but those beginning with ``_cs_``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
+from pyspark.sql import DataFrame, functions as F, Window as W
 
-from ..session import materialize
+from ..operators.frequencies import COUNT, VALUE, cumulate, split_points
 
-VALUE, COUNT = "_cs_value", "_cs_n"
-RANGES = 1024
-ROWS_PER_RANGE = 200_000
+__all__ = ["merge_frequencies", "misplaced_edges", "percentiles", "range_percentiles", "ranks", "split_points", "summarize", "value_frequencies"]
 
 
 def _clean(df: DataFrame, groups: list[str], value: str, id_col: str | None) -> DataFrame:
@@ -46,58 +45,9 @@ def merge_frequencies(freq: DataFrame, groups: list[str]) -> DataFrame:
     return freq.groupBy(*groups, VALUE).agg(F.sum(COUNT).alias(COUNT))
 
 
-def split_points(df: DataFrame, value: str) -> list[float]:
-    """Upper bounds of the ranges: quantiles of the column, as many as its size asks for, RANGES - 1 at most."""
-    v = F.col(value).cast("double")
-    found = df.where(v.isNotNull() & ~F.isnan(v)).agg(F.count("*"), F.percentile_approx(v, [k / RANGES for k in range(1, RANGES)], 20000)).first()
-    n, points = found[0], found[1] or []
-    wanted = min(RANGES, -(-n // ROWS_PER_RANGE))
-    step = max(1, RANGES // max(1, wanted))
-    return sorted(set(points[step - 1 :: step]))
-
-
-def _range_of(value: Column, points: list[float]) -> Column:
-    """How many split points lie below the value, by binary search in a literal array."""
-    if not points:
-        return F.lit(0)
-    bounds = F.array(*[F.lit(float(x)) for x in points])
-    step = 1 << (len(points).bit_length() - 1)
-    steps = []
-    while step:
-        steps.append(F.lit(step))
-        step >>= 1
-    return F.aggregate(F.array(*steps), F.lit(0), lambda lo, s: F.when(F.get(bounds, lo + s - 1) < value, lo + s).otherwise(lo))
-
-
-def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
-
-
-def _cumulate(rows: DataFrame, groups: list[str], points: list[float], order: list[str], tag: str) -> DataFrame:
-    """rows with _cs_cum (count up to and including the row) and _cs_total, in the order of the value and then ``order``."""
-    cells = [*groups, "_cs_range"]
-    rows = rows.withColumn("_cs_range", _range_of(F.col(VALUE), points))
-    within = W.partitionBy(*cells).orderBy(VALUE, *order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = materialize(rows.withColumn("_cs_run", F.sum(COUNT).over(within)), tag)
-    totals = rows.groupBy(*cells).agg(F.sum(COUNT).alias("_cs_cell"))
-    by_group = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
-    offsets = totals.select(
-        *[F.col(c).alias(f"_cs_o_{k}") for k, c in enumerate(cells)],
-        F.coalesce(F.sum("_cs_cell").over(by_group.orderBy("_cs_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_cs_offset"),
-        F.sum("_cs_cell").over(by_group).alias("_cs_total"),
-    )
-    cond = F.lit(True)
-    for k, c in enumerate(cells):
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_cs_o_{k}"))
-    return rows.join(offsets, cond).withColumn("_cs_cum", F.col("_cs_run") + F.col("_cs_offset")).drop("_cs_run", "_cs_offset", "_cs_range", *[f"_cs_o_{k}" for k in range(len(cells))])
-
-
 def percentiles(freq: DataFrame, groups: list[str], probs: list[float], points: list[float]) -> DataFrame:
     """groups, p, value, n_values: the value of rank ceil(p n), n the group's count; p in [0, 1], rank 1 at least."""
-    run = _cumulate(freq, groups, points, [], "cumulative")
+    run = cumulate(freq, groups, points)
     target = lambda p: F.greatest(F.lit(1), F.ceil(p * F.col("_cs_total") - F.lit(1e-9)))
     hit = F.filter(F.array(*[F.lit(float(p)) for p in probs]), lambda p: (target(p) > F.col("_cs_cum") - F.col(COUNT)) & (target(p) <= F.col("_cs_cum")))
     return run.where(F.size(hit) > 0).select(*groups, F.explode(hit).alias("p"), F.col(VALUE).alias("value"), F.col("_cs_total").alias("n_values"))
@@ -112,14 +62,14 @@ def ranks(freq: DataFrame, groups: list[str], asked: DataFrame, keep: list[str],
     nothing = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in keep]
     counted = freq.select(*groups, VALUE, COUNT, F.lit(1).alias("_cs_mark"), *nothing)
     marks = asked.where(F.col(VALUE).isNotNull() & ~F.isnan(VALUE)).select(*groups, (F.col(VALUE) + F.lit(0.0)).alias(VALUE), F.lit(0).cast("long").alias(COUNT), F.explode(F.array(F.lit(0), F.lit(2))).alias("_cs_mark"), *keep)
-    run = _cumulate(counted.unionByName(marks), groups, points, ["_cs_mark"], "ranks").where("_cs_mark <> 1")
+    run = cumulate(counted.unionByName(marks), groups, points, ["_cs_mark"], "ranks").where("_cs_mark <> 1")
     at = lambda mark: F.max(F.when(F.col("_cs_mark") == mark, F.col("_cs_cum")))
     return run.groupBy(*groups, VALUE, *keep).agg(at(0).alias("_cs_below"), at(2).alias("_cs_upto"), F.max("_cs_total").alias("_cs_total"))
 
 
 def summarize(freq: DataFrame, groups: list[str], epsilon: float, points: list[float]) -> DataFrame:
     """A frequency table of at most about 1/epsilon points a group; each kept value carries the count since the last kept one."""
-    run = _cumulate(freq, groups, points, [], "summary")
+    run = cumulate(freq, groups, points, tag="summary")
     step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_cs_total") * F.lit(epsilon)))
     before = F.col("_cs_cum") - F.col(COUNT)
     kept = run.where((F.floor(F.col("_cs_cum") / step) > F.floor(before / step)) | (F.col("_cs_cum") == F.col("_cs_total")))

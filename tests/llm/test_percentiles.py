@@ -4,11 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnstat.llm import percentiles as P
+from cairnstat.operators import frequencies
 
 
 @pytest.fixture()
 def many_ranges(monkeypatch):
-    monkeypatch.setattr(P, "ROWS_PER_RANGE", 20)
+    monkeypatch.setattr(frequencies, "ROWS_PER_RANGE", 20)
 
 
 def sample(seed=1, n=900):
