@@ -12,8 +12,9 @@ is read off that order: whole passes first, then the beginning of one more.
 A source without a target gives nothing; a target whose source has no text can't be met,
 is reported with actual share 0, and the others keep their shares to each other. A null
 source is a source of its own and has no target. Null and empty texts have no tokens and
-are never drawn. A null or negative target or a null max_repeats counts as 0. A document
-id that occurs twice with the same text counts once. Empty tables give an empty mix.
+are never drawn. A null or negative target or a null max_repeats counts as 0. Copies of
+one text within a source, under one id or several, are one text, drawn under its smallest
+id: its uses together keep to max_repeats. Empty tables give an empty mix.
 """
 
 from __future__ import annotations
@@ -76,8 +77,9 @@ def sainte_lague(weights: list[float], seats: int, caps: list[int] | None = None
 def shard_sizes(documents: DataFrame, targets: DataFrame, params: MixParams = MixParams()) -> tuple[DataFrame, list[dict]]:
     """Texts of sources with a target (doc_id, source, shard, order, n_tokens), and the size of each shard."""
     goals = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
-    own = documents.where("doc_id is not null").join(goals.where("share > 0 and repeats > 0").select("source"), "source", "left_semi")
-    sized = materialize(sizes(own, "doc_id", "text", ["source"], params.tokenizer).where("n_tokens > 0").dropDuplicates(["doc_id", "source"]), "sizes")
+    own = documents.where("doc_id is not null and text is not null").withColumn("text_key", F.sha2("text", 256)).join(goals.where("share > 0 and repeats > 0").select("source"), "source", "left_semi")
+    sized = sizes(own, "doc_id", "text", ["source", "text_key"], params.tokenizer).where("n_tokens > 0")
+    sized = materialize(sized.groupBy("source", "text_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens")), "sizes")
     held = {r["source"]: r["t"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).limit(params.max_sources + 1).collect()}
     if len(held) > params.max_sources:
         raise ValueError(f"more than {params.max_sources} sources")

@@ -50,6 +50,12 @@ def test_shares_repeats_and_report(spark):
         assert report["small"].most_copies > 1
 
 
+def test_copies_of_a_text_are_one_text(spark):
+    rows = [(k, f"text number {k % 5} of the river", "big", "") for k in range(50)] + [(100 + k, f"another text {k} of the king", "mid", "") for k in range(5)]
+    mixed = mixing.mix(spark.createDataFrame(rows, DOCS), spark.createDataFrame([("big", 0.5, 2), ("mid", 0.5, 2)], TARGET)).collect()
+    assert {r.doc_id for r in mixed if r.source == "big"} <= set(range(5)) and max(r.copies for r in mixed) <= 2
+
+
 def test_same_seed_same_mix(spark):
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.5, 1)], TARGET)
     draw = lambda d, seed: sorted((r.doc_id, r.copies) for r in mixing.mix(d, targets, mixing.MixParams(seed=seed)).collect())
