@@ -275,3 +275,21 @@ def test_runner_leaves_done_rows_out_and_takes_an_adapter(spark):
     assert len(dummy) == 2 and all(r[0].startswith("Answer: ") for r in dummy)
     trials = runner.calibration_trials(spark.createDataFrame([("a",), ("b",)], "l string"), [], "l", "{source_1} or {source_2}?", lambda: (lambda prompts: prompts.map(lambda p: "Choice: 1")))
     assert sorted(r.selected_source for r in trials.collect()) == ["a", "b"]
+
+
+def test_order_statistics_do_not_depend_on_the_number_of_ranges(spark, monkeypatch):
+    from cairnstat.operators import frequencies
+
+    rng = random.Random(7)
+    values = [("ab"[rng.random() < 0.3], rng.choice([1.0, 1.0, rng.gauss(0, 2), rng.paretovariate(0.8)])) for _ in range(3000)]
+    d = spark.createDataFrame(values, "g string, m double")
+    plain = {g: sorted(v for k, v in values if k == g) for g in "ab"}
+    index = [lambda n: n - n, lambda n: F.floor(n / 3), lambda n: n - 1]
+    for rows_per_range in (200_000, 40):
+        monkeypatch.setattr(frequencies, "ROWS_PER_RANGE", rows_per_range)
+        got = {r.g: (r.found, r.n) for r in frequencies.order_statistics(d, ["g"], "m", index).collect()}
+        assert got == {g: ([v[0], v[len(v) // 3], v[-1]], len(v)) for g, v in plain.items()}
+        q = {r.g: r.quantiles for r in frequencies.linear_quantiles(d, ["g"], "m", [0.0, 0.25, 0.5, 1.0]).collect()}
+        for g, v in plain.items():
+            assert np.allclose(q[g], np.quantile(v, [0.0, 0.25, 0.5, 1.0]))
+    assert frequencies.order_statistics(d.limit(0), ["g"], "m", index).count() == 0
