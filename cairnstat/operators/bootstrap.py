@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import ship
+
 CHUNKS = 20
 
 
@@ -23,6 +25,7 @@ def bootstrap_interval(tables: DataFrame, groups: list[str], resamples: int = 10
     """groups, n, estimate, ci_lower, ci_upper of (a_only - b_only) / n; null for n = 0."""
     kinds = {f.name: f.dataType.simpleString() for f in tables.schema if f.name in groups}
     per = resamples // CHUNKS
+    ship(tables.sparkSession)
 
     def draw(batches):
         for b in batches:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.digest import dummy_generation
+from ..session import ship
 from ..functions.text import is_match, parse_choice, parse_response, render, selected_source
 from .expand import presentations, unordered_pairs
 from .summaries import answer_class
@@ -32,6 +33,7 @@ def generate(inputs: DataFrame, adapter: Adapter | None = None, prompt: str = "p
     """
     if adapter is None:
         return inputs.withColumn(out, dummy_generation(prompt))
+    ship(inputs.sparkSession)
     schema = T.StructType([*inputs.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

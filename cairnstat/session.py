@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,29 @@ SESSION_DEFAULTS = {
 }
 
 _own_shared: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once in an application, so that they need no installation of it.
+
+    The archive is staged on the driver and handed out by Spark.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(root):  # imported from an archive that is there already
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="cairnstat-"), "cairnstat.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.join("cairnstat", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
 
 
 def build_session(app: str, master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -45,6 +70,7 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, which outlives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/cairnstat/{tag}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
@@ -55,4 +81,5 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
