@@ -27,6 +27,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F, Window as W
 
+from ..session import materialize, ship
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "sv", "da", "ru", "uk")
 #: Other ways to name each language (ISO 639-2 and 639-3 codes, English and own names).
@@ -318,6 +320,7 @@ _models: dict[str, PieceModel] = {}
 
 def detect(documents: DataFrame, model: PieceModel, params: LangParams = LangParams()) -> DataFrame:
     """doc_id, seg_no, lang, confidence, seg_start, seg_end (code points), words: every segment of every document."""
+    ship(documents.sparkSession)
     packed = documents.sparkSession.sparkContext.broadcast(pickle.dumps((list(model.index), model.prob.astype(np.float32)), protocol=5))
     key = base64.b16encode(np.random.default_rng().bytes(8)).decode()
 
@@ -336,8 +339,6 @@ def detect(documents: DataFrame, model: PieceModel, params: LangParams = LangPar
 
 def wrong_or_mixed(documents: DataFrame, params: LangParams = LangParams()) -> DataFrame:
     """doc_id, seg_no, lang of documents whose label is missing or wrong, or that are in several languages."""
-    from ..session import materialize
-
     found = materialize(detect(documents, fit(documents, params), params).select("doc_id", "seg_no", "lang"), "segments")
     labels = documents.select("doc_id", label_column(F.col("lang")).alias("code"))
     first = found.groupBy("doc_id").agg(F.max("seg_no").alias("segments"), F.min_by("lang", "seg_no").alias("first"))

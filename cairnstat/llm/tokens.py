@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import ship
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that the vocabulary was made with, from the tokenizer's package; this one where the package is absent.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,6 +63,7 @@ def sizes(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = [], pat
             out["n_tokens"] = [len(encode(x, path)) if x else 0 for x in b[text_col]]
             yield out
 
+    ship(docs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in (id_col, *keep)] + ["n_tokens bigint"])
     return docs.select(id_col, *keep, text_col).mapInPandas(run, schema)
@@ -78,5 +81,6 @@ def bags(docs: DataFrame, id_col: str, text_col: str, path: str = TOKENIZER) ->
                 rows.append((i, len(ids), terms, times.astype(np.int32)))
             yield pd.DataFrame(rows, columns=[id_col, "n_tokens", "terms", "times"])
 
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, n_tokens bigint, terms array<int>, times array<int>")
