@@ -57,17 +57,26 @@ def words(x) -> Column:
     return F.filter(F.split(normalize_answer(x), " "), lambda w: w != "")
 
 
+def once(values: dict[str, Column], use) -> Column:
+    """use(values by name) with each value computed once a row, however often it is used inside."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), use)[0]
+
+
 def token_f1(candidate, gold) -> Column:
     """STR4: F1 of the two multisets of words; 1 if both are empty, 0 if one is."""
-    a, b = words(candidate), words(gold)
 
     def count(arr, w):
         return F.size(F.filter(arr, lambda v: v == w))
 
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, w: acc + F.least(count(a, w), count(b, w)))
-    precision, recall = common / F.size(a), common / F.size(b)
-    both_empty = (F.size(a) == 0) & (F.size(b) == 0)
-    return F.when(both_empty, 1.0).when((F.size(a) == 0) | (F.size(b) == 0) | (common == 0), 0.0).otherwise(2 * precision * recall / (precision + recall))
+    def shared(p):
+        return F.aggregate(F.array_distinct(p["a"]), F.lit(0), lambda acc, w: acc + F.least(count(p["a"], w), count(p["b"], w)))
+
+    def score(q):
+        a, b, common = q["a"], q["b"], q["common"]
+        precision, recall = common / a, common / b
+        return F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0) | (common == 0), 0.0).otherwise(2 * precision * recall / (precision + recall))
+
+    return once({"a": words(candidate), "b": words(gold)}, lambda p: once({"a": F.size(p["a"]), "b": F.size(p["b"]), "common": shared(p)}, score))
 
 
 _ITEM = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|-?\d+(?:\.\d+)?|None|True|False"
