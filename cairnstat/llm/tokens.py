@@ -69,18 +69,20 @@ def sizes(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = [], pat
     return docs.select(id_col, *keep, text_col).mapInPandas(run, schema)
 
 
-def bags(docs: DataFrame, id_col: str, text_col: str, path: str = TOKENIZER) -> DataFrame:
-    """id, n_tokens, terms array<int> (distinct tokens, ascending), times array<int>."""
+def bags(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = [], path: str = TOKENIZER) -> DataFrame:  # noqa: B006
+    """id, keep, n_tokens, terms array<int> (distinct tokens, ascending), times array<int>."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for i, text in zip(b[id_col], b[text_col]):
+            for text in b[text_col]:
                 ids = encode(text, path) if text else []
                 terms, times = np.unique(np.array(ids, dtype=np.int32), return_counts=True)
-                rows.append((i, len(ids), terms, times.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=[id_col, "n_tokens", "terms", "times"])
+                rows.append((len(ids), terms, times.astype(np.int32)))
+            out = b.drop(columns=[text_col]).reset_index(drop=True)
+            yield pd.concat([out, pd.DataFrame(rows, columns=["n_tokens", "terms", "times"])], axis=1)
 
     ship(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, n_tokens bigint, terms array<int>, times array<int>")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in (id_col, *keep)] + ["n_tokens bigint, terms array<int>, times array<int>"])
+    return docs.select(id_col, *keep, text_col).mapInPandas(run, schema)
