@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import digest, stats, text
-from ..operators import bootstrap, calibration, contrasts, dedup, expand, foils, ingest, regression, runner, sampling, strata, summaries, verify
+from ..operators import bootstrap, calibration, classify, contrasts, dedup, expand, foils, ingest, regression, runner, sampling, strata, summaries, verify
 from ..session import table
 from ..sources import jsonl
 from .fixtures import cte, view
@@ -727,6 +727,59 @@ def q72_confidence_by_condition(spark, sf_dir):
     return view(spark, sf_dir, "trial").groupBy("condition").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 9).alias("mean_confidence"), F.count_if(F.col("decision") == "uncertain").alias("abstained"))
 
 
+# ---- classes -----------------------------------------------------------------------------
+
+
+@query("FLT2 FLT3 FLT4", cte("item") + f"""
+, c as (select relation, subj, count(distinct {_norm('gold_answer')}) as k from item where relation is not null and subj is not null group by 1, 2)
+select item_id, case when relation in ('genre') then 'not_primary' when relation in ('father') then 'review' when relation not in ('country', 'sport', 'place of birth', 'mother') or relation is null then 'unrecognized'
+       when coalesce(k, 0) > 1 then 'multi_object' else 'primary' end as status from item left join c using (relation, subj)""")
+def q73_relation_policy(spark, sf_dir):
+    d = ingest.with_multiplicity(view(spark, sf_dir, "item"), ["relation", "subj"], "gold_answer")
+    kind = classify.by_table("relation", {"primary": ["country", "sport", "place of birth", "mother"], "review": ["father"], "not_primary": ["genre"]}, "unrecognized")
+    return d.withColumn("kind", kind).select("item_id", classify.first_rule([(F.col("kind") != "primary", ""), (F.col("multi_object"), "multi_object")], "primary").alias("status"), "kind").select("item_id", F.when(F.col("status") == "", F.col("kind")).otherwise(F.col("status")).alias("status"))
+
+
+_UNCERTAIN = ", ".join(_norm("'" + p.replace("'", "''") + "'") for p in classify.UNCERTAIN)
+
+
+@query("FLT5 FLT9 FLT10", cte("response") + f"""
+, s as (select record_id, parsed_answer, gold_answer, gold_aliases, case when parsed_answer is null or parsed_decision is null then 'malformed' when parsed_decision <> 'answer' then 'uncertain' when {_norm('parsed_answer')} in ({_UNCERTAIN}) then 'uncertain' else 'answer' end as status from response),
+w as (select *, len(list_filter(regexp_split_to_array({_strip("coalesce(parsed_answer, '')")}, '{_WS}+'), lambda x: x <> '')) <= 6 and not (contains(lower(parsed_answer), ',') or contains(lower(parsed_answer), ' or ') or contains(lower(parsed_answer), ' and ')) as clean from s)
+select record_id, status, case when status <> 'answer' then 'excluded' when {_norm('parsed_answer')} <> '' and list_contains({_aliases('gold_answer', 'gold_aliases')}, {_norm('parsed_answer')}) then 'KC' when clean then 'KW' else 'manual_review' end as knowledge_group from w""")
+def q74_knowledge_groups(spark, sf_dir):
+    d = view(spark, sf_dir, "response").withColumn("malformed", F.col("parsed_answer").isNull() | F.col("parsed_decision").isNull())
+    return d.select("record_id", classify.answer_status("parsed_answer", "parsed_decision", F.col("malformed")).alias("status"), classify.knowledge_group("parsed_answer", "parsed_decision", F.col("malformed"), "gold_answer", "gold_aliases").alias("knowledge_group"))
+
+
+@query("AGG33", cte("response") + "select item_id, case when count(distinct knowledge_group) = 1 then min(knowledge_group) else 'mixed:' || string_agg(distinct knowledge_group, ',' order by knowledge_group) end as reason from response group by 1")
+def q75_combined_reasons(spark, sf_dir):
+    return classify.combined_reason(view(spark, sf_dir, "response"), ["item_id"], "knowledge_group")
+
+
+@query("RUN11 AGG11", cte("trial") + f"""
+, l as (select 'corrective' as contrast, model_key, item_id, condition = 'K1' as is_a, context_adopted from trial where condition in ('K1', 'K2') and conflict_status = 'conflict'
+        union all select 'harmful', model_key, item_id, condition = 'K3', context_adopted from trial where condition in ('K3', 'K4') and conflict_status = 'conflict'
+        union all select 'country only', model_key, item_id, condition = 'K1', context_adopted from trial where condition in ('K1', 'K2') and relation = 'country'),
+pr as (select contrast, model_key, item_id, bool_or(context_adopted) filter (is_a) as a, bool_or(context_adopted) filter (not is_a) as b from l group by 1, 2, 3),
+cl as (select contrast, {_CELLS} from pr where a is not null and b is not null group by 1)""" + _interval_sql("cl", "contrast") + "select contrast, n0 as n, b0 as a_only, c0 as b_only, risk_difference, ci_lower, ci_upper, exact_p from tt")
+def q76_study_table(spark, sf_dir):
+    conflict = F.col("conflict_status") == "conflict"
+    specs = [{"name": "corrective", "a": "K1", "b": "K2", "where": conflict}, {"name": "harmful", "a": "K3", "b": "K4", "where": conflict}, {"name": "country only", "a": "K1", "b": "K2", "where": F.col("relation") == "country"}]
+    t = classify.study_table(view(spark, sf_dir, "trial"), specs, ["model_key", "item_id"])
+    return t.select("contrast", "n", "a_only", "b_only", *[r9(c) for c in ("risk_difference", "ci_lower", "ci_upper", "exact_p")])
+
+
+@query("SMP7 FLT20 FLT21 JN16", """
+with m as (select distinct item_id from baseline_record where knowledge_group = 'KW' and item_id is not null)
+select 'all' as cohort, i.item_id, case when m.item_id is not null then 'used' else i.prop end as status from interim_item i left join m using (item_id)
+union all select 'named', i.item_id, i.prop from interim_item i where subj is not null""")
+def q77_bundle(spark, sf_dir):
+    items = table(spark, sf_dir, "interim_item").withColumn("status", F.col("prop"))
+    used = table(spark, sf_dir, "baseline_record").where("knowledge_group = 'KW'")
+    return classify.bundle({"all": classify.mark_listed(items, "item_id", used, "status", "used"), "named": items.where("subj is not null")}, ["item_id", "status"])
+
+
 # ---- fits: no SQL ------------------------------------------------------------------------
 
 
