@@ -33,7 +33,8 @@ from .tokens import TOKENIZER, sizes
 class MixParams:
     seed: int = 42
     block_tokens: int = 256
-    shard_tokens: int = 2_000_000  # target size of a shard of one source
+    shard_tokens: int = 2_000_000  # least size of a shard of one source
+    max_shards: int = 10_000  # about as many shards at most, however large the corpus: they grow with it
     total_tokens: int | None = None  # None: as much as the shares and max_repeats allow
     max_sources: int = 100_000
     tokenizer: str = TOKENIZER
@@ -83,7 +84,8 @@ def shard_sizes(documents: DataFrame, targets: DataFrame, params: MixParams = Mi
     held = {r["source"]: r["t"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).limit(params.max_sources + 1).collect()}
     if len(held) > params.max_sources:
         raise ValueError(f"more than {params.max_sources} sources")
-    shards = {s: max(1, t // params.shard_tokens) for s, t in held.items()}
+    size = max(params.shard_tokens, -(-sum(held.values()) // params.max_shards))
+    shards = {s: max(1, t // size) for s, t in held.items()}
     number = F.lit(1)
     if any(k > 1 for k in shards.values()):
         number = F.coalesce(F.create_map(*[x for s, k in shards.items() for x in (F.lit(s), F.lit(k))])[F.col("source")], F.lit(1))
