@@ -39,6 +39,7 @@ NAMES = {
 }
 BLANK_LABELS = ("", "und", "undetermined", "unknown", "mis", "mul", "zxx", "none", "null", "n/a", "?", "-")
 
+MOST_LETTERS = 64  # a longer run of letters isn't counted in training; it is scored whole
 WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 _END = regex.compile(r"(?<=[.!?…。][\"'”’»)\]]{0,3})\s+(?=[\"'“‘«(\[¿¡]{0,2}[\p{Lu}\p{Lt}\d])|\n+")
 _END_SMALL = regex.compile(r"(?<=[.!?…。][\"'”’»)\]]{0,3})\s+(?=[\"'“‘«(\[¿¡]{0,2}[\p{L}\d])|\n+")
@@ -158,22 +159,28 @@ class PieceModel:
             out[i] = k
         return self.scores[out]
 
-    def expected(self, word: str, weight: np.ndarray, counts: np.ndarray) -> None:
+    def lattice(self, word: str) -> tuple:
+        """Starts, ends and pieces of all spans of the word, in order of their ends, and the spans of each start and end."""
+        spans = [(s, e, k) for e, at in enumerate(self.spans("▁" + word), 1) for s, k in at]
+        start, end, piece = np.array(spans, dtype=np.int64).T
+        n = len(word) + 1
+        return start, end, piece, [np.flatnonzero(end == e) for e in range(n + 1)], [np.flatnonzero(start == s) for s in range(n + 1)]
+
+    def expected(self, word: str, weight: np.ndarray, counts: np.ndarray, lattice: tuple | None = None) -> None:
         """Add the expected number of each piece in the word, times the weight of each language."""
-        word = "▁" + word
-        spans, n = self.spans(word), len(word)
+        start, end, piece, by_end, by_start = lattice or self.lattice(word)
+        n = len(word) + 1
+        prob = self.prob[piece]
         alpha, beta = np.zeros((n + 1, len(weight))), np.zeros((n + 1, len(weight)))
         alpha[0], beta[n] = 1.0, 1.0
-        for e, at in enumerate(spans, 1):
-            for s, k in at:
-                alpha[e] += alpha[s] * self.prob[k]
-        for e in range(n, 0, -1):
-            for s, k in spans[e - 1]:
-                beta[s] += beta[e] * self.prob[k]
-        norm = weight / np.maximum(alpha[n], 1e-300)
-        for e, at in enumerate(spans, 1):
-            for s, k in at:
-                counts[k] += alpha[s] * self.prob[k] * beta[e] * norm
+        for e in range(1, n + 1):
+            at = by_end[e]
+            alpha[e] = (alpha[start[at]] * prob[at]).sum(0)
+        for s in range(n - 1, -1, -1):
+            at = by_start[s]
+            if len(at):
+                beta[s] = (beta[end[at]] * prob[at]).sum(0)
+        np.add.at(counts, piece, alpha[start] * prob * beta[end] * (weight / np.maximum(alpha[n], 1e-300)))
 
     def sentence_scores(self, text: str, params: LangParams) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
         """Spans of the sentences, their scores under each language, and their numbers of words."""
@@ -254,9 +261,10 @@ def train(labelled: list[tuple[str, str]], params: LangParams = LangParams()) ->
     model = PieceModel(pieces, prob, memory=params.memory)
     split = [(code, [[w.lower() for w in WORD.findall(_unquoted(text[s:e], params))] for s, e in sentences(text)]) for code, text in labelled]
     counted = _count([(code, s) for code, parts in split for s in parts])
+    lattices: dict[str, tuple] = {}
     for again in range(2):
         for _ in range(params.rounds):
-            model = _step(model, counted, params)
+            model = _step(model, counted, params, lattices)
         if again:
             break
         # sentences that the first model gives another language are counted under that one
@@ -285,13 +293,17 @@ def _count(parts: list[tuple[str, list[str]]]) -> dict[str, np.ndarray]:
     return counted
 
 
-def _step(model: PieceModel, counted: dict[str, np.ndarray], params: LangParams) -> PieceModel:
+def _step(model: PieceModel, counted: dict[str, np.ndarray], params: LangParams, lattices: dict[str, tuple]) -> PieceModel:
     """One round: expected counts, smoothed with the pieces' share over all languages."""
     n = len(model.prob)
     counts = np.zeros_like(model.prob)
     for word, weight in counted.items():
-        # a word of a language that has few texts in the sample weighs as much as one of another
-        model.expected(word[:64], weight, counts)
+        if len(word) > MOST_LETTERS:  # no word of a language
+            continue
+        lattice = lattices.get(word)
+        if lattice is None:
+            lattice = lattices[word] = model.lattice(word)
+        model.expected(word, weight, counts, lattice)
     totals = counts.sum(0)
     shares = counts / np.maximum(totals, 1.0)
     overall = shares.sum(1, keepdims=True) / max(1, (totals > 0).sum())
