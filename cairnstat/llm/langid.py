@@ -148,16 +148,19 @@ class PieceModel:
         cache = self.cache
         if len(cache) > self.memory:
             cache.clear()
-        out = np.empty(len(words), dtype=np.int64)
-        for i, w in enumerate(words):
-            k = cache.get(w)
-            if k is None:
-                k = cache[w] = len(cache)
-                if k >= len(self.scores):
-                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.scores[k] = self.forward(w)
-            out[i] = k
-        return self.scores[out]
+        known = list(map(cache.get, words))
+        if None in known:
+            for i, k in enumerate(known):
+                if k is None:
+                    w = words[i]
+                    k = cache.get(w)
+                    if k is None:
+                        k = cache[w] = len(cache)
+                        if k >= len(self.scores):
+                            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+                        self.scores[k] = self.forward(w)
+                    known[i] = k
+        return self.scores[known]
 
     def lattice(self, word: str) -> tuple:
         """Starts, ends and pieces of all spans of the word, in order of their ends, and the spans of each start and end."""
@@ -187,9 +190,8 @@ class PieceModel:
         spans = sentences(text)
         words, lengths = [], []
         for s, e in spans:
-            part = text[s:e]
-            own = WORD.findall(_unquoted(part, params))
-            words += [w.lower() for w in own]
+            own = WORD.findall(_unquoted(text[s:e], params).lower())
+            words += own
             lengths.append(len(own))
         lengths = np.array(lengths, dtype=np.int64)
         if not words:
@@ -259,7 +261,7 @@ def train(labelled: list[tuple[str, str]], params: LangParams = LangParams()) ->
     prob = np.full((n + 1, m), 1.0 / n)
     prob[n] = 1e-7
     model = PieceModel(pieces, prob, memory=params.memory)
-    split = [(code, [[w.lower() for w in WORD.findall(_unquoted(text[s:e], params))] for s, e in sentences(text)]) for code, text in labelled]
+    split = [(code, [WORD.findall(_unquoted(text[s:e], params).lower()) for s, e in sentences(text)]) for code, text in labelled]
     counted = _count([(code, s) for code, parts in split for s in parts])
     lattices: dict[str, tuple] = {}
     for again in range(2):
