@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 
-def bijection(planned: DataFrame, returned: DataFrame, key: str) -> DataFrame:
-    """JN12: key, planned, returned of keys that aren't exactly once on both sides."""
-    p = planned.groupBy(key).agg(F.count("*").alias("planned"))
-    r = returned.groupBy(key).agg(F.count("*").alias("returned"))
+def bijection(planned: DataFrame, returned: DataFrame, key: str | list[str]) -> DataFrame:
+    """JN12: key, planned, returned of keys (of one or several columns) that aren't exactly once on both sides."""
+    key = [key] if isinstance(key, str) else key
+    p = planned.groupBy(*key).agg(F.count("*").alias("planned"))
+    r = returned.groupBy(*key).agg(F.count("*").alias("returned"))
     zero = F.lit(0).cast("bigint")
-    return p.join(r, key, "full_outer").select(key, F.coalesce("planned", zero).alias("planned"), F.coalesce("returned", zero).alias("returned")).where("planned <> 1 or returned <> 1")
+    return p.join(r, key, "full_outer").select(*key, F.coalesce("planned", zero).alias("planned"), F.coalesce("returned", zero).alias("returned")).where("planned <> 1 or returned <> 1")
 
 
 def prefix_breaks(done: DataFrame, planned: DataFrame, id_col: str, position: str) -> DataFrame:

@@ -684,6 +684,20 @@ def q66_bijection(spark, sf_dir):
     return verify.bijection(table(spark, sf_dir, "interim_item"), table(spark, sf_dir, "baseline_record").where("run_id like '%0'"), "item_id")
 
 
+@query("JN12 SET5", """
+with d as (select distinct record_id, run_id, model_key, item_id from baseline_record),
+p as (select run_id, model_key, item_id, count(*) as planned from interim_item cross join (select distinct run_id, model_key from d) group by all),
+r as (select run_id, model_key, item_id, count(*) as returned from d group by all)
+select run_id, model_key, item_id, coalesce(planned, 0) as planned, coalesce(returned, 0) as returned from p full join r using (run_id, model_key, item_id)
+where coalesce(planned, 0) <> 1 or coalesce(returned, 0) <> 1""")
+def q66_bijection_runs(spark, sf_dir):
+    """All runs, each against the whole plan; q66_bijection has the runs whose id ends in 0 only, mixed."""
+    key = ["run_id", "model_key", "item_id"]
+    d = table(spark, sf_dir, "baseline_record").select("record_id", *key).distinct()
+    planned = table(spark, sf_dir, "interim_item").select("item_id").crossJoin(d.select("run_id", "model_key").distinct())
+    return verify.bijection(planned, d, key)
+
+
 @query("JN13 JN14", """
 with b as (select distinct model_key, block_no from margin_score where block_no is not null and not (model_key = 'cedar' and block_no = 1)),
 e as (select *, row_number() over (partition by model_key order by block_no) - 1 as expected from b)

@@ -27,3 +27,11 @@ def test_query_without_sql_gives_rows(spark, small, name):
 
 def test_flagship(spark, small):
     assert catalog.flagship(spark, small).count() == 6
+
+
+def test_bijection_covers_every_run(spark, tmp_path):
+    spark.createDataFrame([("a",), ("b",)], "item_id string").write.parquet(f"{tmp_path}/interim_item.parquet")
+    done = [(1, "r0", "m", "a"), (2, "r0", "m", "b"), (3, "r1", "m", "a"), (3, "r1", "m", "a"), (4, "r2", "m", "a"), (5, "r2", "m", "a"), (6, "r2", "m", "b"), (7, "r2", "m", "x")]
+    spark.createDataFrame(done, "record_id long, run_id string, model_key string, item_id string").write.parquet(f"{tmp_path}/baseline_record.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["q66_bijection_runs"](spark, str(tmp_path)).collect()))
+    assert got == [("r1", "m", "b", 1, 0), ("r2", "m", "a", 1, 2), ("r2", "m", "x", 0, 1)]
