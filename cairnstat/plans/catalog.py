@@ -707,6 +707,15 @@ def q67_block_gaps(spark, sf_dir):
     return verify.block_gaps(d, ["model_key"], "block_no").withColumn("expected", F.col("expected").cast("int"))
 
 
+@query("JN13 JN14", """
+with b as (select distinct model_key, block_no from margin_score where block_no is not null),
+e as (select *, row_number() over (partition by model_key order by block_no) - 1 as expected from b)
+select model_key, block_no, cast(expected as int) as expected from e where block_no <> expected""")
+def q67_block_gaps_all(spark, sf_dir):
+    """The whole table; q67_block_gaps leaves out a block to make a gap."""
+    return verify.block_gaps(table(spark, sf_dir, "margin_score").where("block_no is not null"), ["model_key"], "block_no").withColumn("expected", F.col("expected").cast("int"))
+
+
 @query("VER2 VER3 FLT11", """
 with f as (select distinct record_id, unnest(list_filter([case when not coalesce(model_revision is not null and lower(trim(model_revision)) not in ('', 'main', 'latest', 'master', 'head'), false) then 'revision' end,
   case when not coalesce(parsed_confidence between 0 and 100, false) then 'confidence' end, case when not coalesce(received_at >= generated_at, false) then 'late' end,

@@ -35,3 +35,11 @@ def test_bijection_covers_every_run(spark, tmp_path):
     spark.createDataFrame(done, "record_id long, run_id string, model_key string, item_id string").write.parquet(f"{tmp_path}/baseline_record.parquet")
     got = sorted(map(tuple, catalog.QUERIES["q66_bijection_runs"](spark, str(tmp_path)).collect()))
     assert got == [("r1", "m", "b", 1, 0), ("r2", "m", "a", 1, 2), ("r2", "m", "x", 0, 1)]
+
+
+def test_block_gaps_covers_the_whole_table(spark, tmp_path):
+    """The artificial gap: birch lacks its block 1; cedar is whole."""
+    rows = [("cedar", 0), ("cedar", 1), ("cedar", 2), ("birch", 0), ("birch", 2), ("birch", 2), ("birch", None)]
+    spark.createDataFrame(rows, "model_key string, block_no int").write.parquet(f"{tmp_path}/margin_score.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["q67_block_gaps_all"](spark, str(tmp_path)).collect()))
+    assert got == [("birch", 2, 1)]
