@@ -31,3 +31,12 @@ def test_found_has_exactly_its_columns(spark, small, name):
 @pytest.mark.parametrize("name", ["p6_pack", "p6_fill", "p7_mix", "p7_shares", "p3_links", "p5_forms", "p8_segments", "p2_rates", "p1_ranking"])
 def test_other_queries_give_rows(spark, small, name):
     assert catalog.queries()[name](spark, small).count() > 0
+
+
+def test_hazards_show_both_scopes_all_units_and_the_walls(spark, small):
+    got = catalog.queries()["p2_hazards_all"](spark, small)
+    assert {(r.scope, r.unit) for r in got.select("scope", "unit").distinct().collect()} == {(s, u) for s in ("run", "limit") for u in ("pieces", "chars", "bytes")}
+    assert got.where("significant and p_value < 0.01").count() > 0
+    part = got.where("scope = 'run' and unit <> 'pieces'")
+    narrow = catalog.queries()["p2_hazards"](spark, small)
+    assert part.select(*narrow.columns).exceptAll(narrow).count() == 0 and part.count() == narrow.count()
