@@ -14,7 +14,7 @@ is the beginning of a more frequent value of its field. *Doubtful* ones (white s
 answer in last place that never stands before another line) count only at a significant
 length that is a wall: its hazard is ``wall`` or more. *Whole* ones count only at a wall
 at which most responses of that kind of ending are in excess of what the neighbouring
-lengths lead to expect.
+lengths lead to expect, in any unit, over the run or over the limit.
 
 Null and blank responses are no cut responses and have no length. A record delivered
 twice counts once; of rows with one id and other content each content counts. Responses
@@ -156,25 +156,27 @@ def truncated(records: DataFrame, params: TruncationParams = TruncationParams())
 
     # kinds of whole endings most of which are in excess at a wall
     groups = ["scope", *KEYS, "kind", "unit"]
-    whole = length_table(feats.where("not broken")).where("scope = 'limit'")
+    whole = length_table(feats.where("not broken"))
     by_kind = _hazards(whole.groupBy(*groups, "length").agg(F.sum("n").alias("n")), groups, params.window)
     # a wall ends all, so the lengths just below it tell what is to be expected, not their hazard
     level = F.greatest(F.col("near_n") / F.lit(float(params.window)), F.col("last_n").cast("double"))
     excess = by_kind.where(F.col("n") >= params.least).where(level <= (1 - params.excess) * F.col("n"))
-    significant = table.where("scope = 'limit'").join(excess.select(F.col("max_new_tokens").alias("e_limit"), "kind", F.col("unit").alias("e_unit"), F.col("length").alias("e_length")), (F.col("max_new_tokens").eqNullSafe(F.col("e_limit"))) & (F.col("unit") == F.col("e_unit")) & (F.col("length") == F.col("e_length")))
-    excess_at = significant.where("unit = 'pieces'").select(F.col("max_new_tokens").alias("e_limit"), F.col("kind").alias("e_kind"), F.col("length").alias("e_length")).distinct()
-
     # significant lengths of each record, in any unit and scope
     unit = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("pieces", "chars", "bytes")])).alias("u")
     keyed = feats.groupBy(*KEYS, "pieces", "chars", "bytes").count().select(*KEYS, "pieces", "chars", "bytes", unit).select(*KEYS, "pieces", "chars", "bytes", "u.unit", "u.length")
     t = table.select(*[F.col(c).alias(f"t_{c}") for c in ("scope", *KEYS, "unit", "length")])
     meets = F.col("unit").eqNullSafe(F.col("t_unit")) & F.col("length").eqNullSafe(F.col("t_length")) & F.col("max_new_tokens").eqNullSafe(F.col("t_max_new_tokens"))
     fits = (F.col("t_scope") == "limit") | (F.col("model_key").eqNullSafe(F.col("t_model_key")) & F.col("run_id").eqNullSafe(F.col("t_run_id")))
+    # a wall of one run ends the responses of that run, one of a limit all with that limit
+    wall_kinds = excess.select(*groups, "length").join(t, meets & F.col("scope").eqNullSafe(F.col("t_scope")) & F.col("model_key").eqNullSafe(F.col("t_model_key")) & F.col("run_id").eqNullSafe(F.col("t_run_id")))
+    wall_kinds = wall_kinds.select("kind", *[F.col(f"t_{c}") for c in ("scope", *KEYS, "unit", "length")]).withColumnRenamed("kind", "t_kind")
+    at_kind = feats.groupBy(*KEYS, "kind", "pieces", "chars", "bytes").count().select(*KEYS, "kind", "pieces", "chars", "bytes", unit).select(*KEYS, "kind", "pieces", "chars", "bytes", "u.unit", "u.length")
+    excess_at = at_kind.join(wall_kinds, meets & fits & (F.col("kind") == F.col("t_kind"))).select(*KEYS, "kind", "pieces", "chars", "bytes").distinct().withColumn("excess", F.lit(True))
     at_limit = keyed.join(t, meets & fits).select(*KEYS, "pieces", "chars", "bytes").distinct().withColumn("at_limit", F.lit(True))
 
     cols = [*KEYS, "pieces", "chars", "bytes"]
     rows = feats.alias("f").join(at_limit.alias("a"), _same("f", "a", cols), "left").select("f.*", F.coalesce("a.at_limit", F.lit(False)).alias("at_limit"))
-    rows = rows.join(excess_at, (F.col("max_new_tokens").eqNullSafe(F.col("e_limit"))) & (F.col("kind") == F.col("e_kind")) & (F.col("pieces") == F.col("e_length")), "left").withColumn("excess", F.col("e_kind").isNotNull()).drop("e_limit", "e_kind", "e_length")
+    rows = rows.alias("f").join(excess_at.alias("a"), _same("f", "a", [*cols, "kind"]), "left").select("f.*", F.coalesce("a.excess", F.lit(False)).alias("excess"))
 
     # values of open fields in last place
     begun = _begun_values(feats).withColumnRenamed("value", "b_value")

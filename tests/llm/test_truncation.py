@@ -60,3 +60,18 @@ def test_rates_and_empty(spark):
 def test_very_long_text(spark):
     d = spark.createDataFrame([(1, "m", "r", "word " * 200_000 + "end.", (False, 9, 1)), (2, "m", "r", "word " * 200_000, (False, 9, 1))], SCHEMA)
     assert {r.record_id: r.cut for r in C.truncated(d).collect()} == {1: False, 2: True}
+
+
+def test_whole_endings_at_a_storage_limit_of_one_run(spark):
+    """Run r stores 200 characters; what falls on a closing mark there looks whole."""
+    rng, rows, cut = random.Random(5), [], set()
+    for k in range(3000):
+        run = "r" if k < 1000 else f"q{k % 4}"
+        text = "Answer: x\nDecision: answer\nConfidence: 5\nReason: " + " ".join(rng.choice(WORDS) for _ in range(rng.randrange(10, 60))) + "."
+        if run == "r" and len(text) > 200:
+            text = text[:199] + "."
+            cut.add(k)
+        rows.append((k, "m", run, text, (False, 999, 1)))
+    got = {r.record_id: r.cut for r in C.truncated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found = {k for k, v in got.items() if v}
+    assert cut <= found and len(found - cut) <= 30
