@@ -122,7 +122,9 @@ def mix(documents: DataFrame, targets: DataFrame, params: MixParams = MixParams(
     """doc_id, source, n_tokens, copies: how often each drawn text is used."""
     spark = documents.sparkSession
     texts, shards = shard_sizes(documents, targets, params)
-    goals = [(r["source"], r["target_share"], r["max_repeats"]) for r in targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).orderBy("source").limit(params.max_sources).collect()]
+    goals = [(r["source"], r["target_share"], r["max_repeats"]) for r in targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).orderBy("source").limit(params.max_sources + 1).collect()]
+    if len(goals) > params.max_sources:
+        raise ValueError(f"more than {params.max_sources} sources")
     wanted = quotas(goals, shards, params)
     limit = {s: reps for s, _, reps in goals}
     held = {(x["source"], x["shard"]): x["tokens"] for x in shards}

@@ -34,6 +34,7 @@ class FitParams:
     firth_steps: int = 200
     firth_tolerance: float = 1e-8
     max_groups: int = 2000
+    max_models: int = 1000
 
 
 def _prepare(df: DataFrame, groups: list[str], y: str, design: dict[str, Column], cluster: str | None) -> DataFrame:
@@ -275,7 +276,9 @@ def model_by_source(df: DataFrame, y: str, model: str, source: str, cluster: str
     The first model by name is the reference. term 'joint' has the statistic in z and its
     degrees of freedom in n.
     """
-    models = [r[0] for r in df.select(model).where(F.col(model).isNotNull()).distinct().orderBy(model).limit(1000).collect()]
+    models = [r[0] for r in df.select(model).where(F.col(model).isNotNull()).distinct().orderBy(model).limit(params.max_models + 1).collect()]
+    if len(models) > params.max_models:
+        raise ValueError(f"more than {params.max_models} models")
     s = F.col(source).cast("double")
     is_m = {m: F.coalesce((F.col(model) == m).cast("double"), F.lit(0.0)) for m in models[1:]}
     design = {"intercept": F.lit(1.0), "source": s, **{f"model[{m}]": e for m, e in is_m.items()}, **{f"model[{m}]:source": e * s for m, e in is_m.items()}}

@@ -1,6 +1,8 @@
 import random
 from fractions import Fraction
 
+import pytest
+
 from cairnstat.llm import mixing
 
 DOCS = "doc_id long, text string, source string, n_tokens string"
@@ -68,3 +70,10 @@ def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS), targets).count() == 0
     assert mixing.mix(corpus(spark), spark.createDataFrame([], TARGET)).count() == 0
     assert [r.actual_share for r in mixing.shares(mixing.mix(spark.createDataFrame([], DOCS), targets), targets).collect()] == [0.0]
+
+
+def test_too_many_targets_are_an_error(spark):
+    d = spark.createDataFrame([(1, "river boat", "a", "")], DOCS)
+    t = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], TARGET)
+    with pytest.raises(ValueError, match="more than 1 sources"):
+        mixing.mix(d, t, mixing.MixParams(max_sources=1))

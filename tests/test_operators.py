@@ -293,3 +293,9 @@ def test_order_statistics_do_not_depend_on_the_number_of_ranges(spark, monkeypat
         for g, v in plain.items():
             assert np.allclose(q[g], np.quantile(v, [0.0, 0.25, 0.5, 1.0]))
     assert frequencies.order_statistics(d.limit(0), ["g"], "m", index).count() == 0
+
+
+def test_too_many_models_are_an_error(spark):
+    d = spark.createDataFrame([(1, "a", 1, "x"), (0, "b", 0, "y"), (1, "c", 1, "z")], "y int, model string, source int, item string")
+    with pytest.raises(ValueError, match="more than 2 models"):
+        regression.model_by_source(d, "y", "model", "source", "item", params=regression.FitParams(max_models=2))
