@@ -2,17 +2,22 @@
 
 Margins are shrunken log odds of each pair, one skew-symmetric matrix M with most pairs
 missing; a compared pair's weight is normalised by the square roots of its items' total
-weights, so that neither much-compared items nor few-compared ones rule the plane. The ranking is read from the leading singular plane of M completed by its own
-rank-two fit ``s 1' - 1 s'``. The completed matrix is never formed: its product with a
-vector is the sparse residual on compared pairs, summed by a Spark job over the edge
-table, plus the product of the fit. Lanczos on that operator gives the plane, its
-projection gives s, and s is oriented towards agreement with the outcomes. The outer
-iteration runs to its fixed point with Anderson acceleration. Pairs at odds with the rest
-lose weight: first by Huber's rule, near to least absolute residuals, which a single pair
-across the ranking can't bend, then by Tukey's biweight.
+weights, so that neither much-compared items nor few-compared ones rule the plane. M is
+completed with a rank-two matrix ``s 1' - 1 s'``, s being the potential that fits the
+compared pairs best; without the completion the leading plane of a thinly compared set
+oscillates. The potential is solved for by conjugate gradients to a small residual. Pairs
+at odds with the rest lose weight: first by Huber's rule, near to least absolute residuals,
+which a single pair across the ranking can't bend, then by Tukey's biweight, each time with
+a new solution. The ranking is read from the leading singular plane of the completed
+matrix, which is never formed: its product with a vector is the sparse residual on compared
+pairs, summed over the edge table, plus the product of the fit. Lanczos on that operator,
+until the residual of the leading pair is small, gives the plane, its projection gives the
+strengths, and they are oriented towards agreement with the outcomes. Where a solution
+isn't reached within the steps allowed, an error is raised.
 
 Distributed: rows -> pair totals (partial aggregation, so a hot pair is one row per task)
--> edge table in the shared folder -> one aggregation job per Lanczos step.
+-> edge table in the shared folder -> one aggregation job per product. A table of no
+more pairs than one task takes anyway is worked on within that task, in one job.
 Driver: vectors of one double per item, checked against ``max_items``.
 """
 
@@ -39,16 +44,17 @@ RANKING_SCHEMA = T.StructType(
 
 @dataclass(frozen=True)
 class RankingParams:
-    lanczos_steps: int = 5
-    max_outer: int = 150
-    tolerance: float = 1e-3
-    loose: float = 1e-2
+    lanczos_steps: int = 60  # at most; it stops at the residual
+    residual: float = 1e-4
+    solver_steps: int = 20_000  # of conjugate gradients, in all
+    solved: float = 1e-7
+    settled: float = 1e-3  # change of a strength at which the weights are settled
+    rounds: int = 60  # of new weights, at most, for each of the reweightings
     reweightings: int = 6
     huber_rounds: int = 4
     huber: float = 0.3
     extra_variance: float = 0.02
     biweight: float = 4.685
-    memory: int = 6
     max_items: int = 2_000_000
     rows_per_task: int = 500_000
 
@@ -80,12 +86,13 @@ def pair_totals(stats: DataFrame, id_col: str = "stat_id") -> DataFrame:
     )
 
 
-def _lanczos_plane(product, start: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
+def _lanczos_plane(product, start: np.ndarray, steps: int, residual: float = 1e-6) -> tuple[np.ndarray, float]:
     """Leading singular plane of a skew-symmetric operator and its singular value.
 
     A skew operator's Lanczos matrix is tridiagonal with a zero diagonal and off-diagonals
     of opposite sign; its singular values come in pairs, the first pair's left vectors
-    span the plane. Full reorthogonalisation keeps the short basis exact.
+    span the plane. Full reorthogonalisation keeps the short basis exact. The basis grows
+    until the residual of the leading pair is a small part of its singular value.
     """
     basis, betas = [start / np.linalg.norm(start)], []
     for _ in range(min(steps, len(start) - 1)):
@@ -98,12 +105,21 @@ def _lanczos_plane(product, start: np.ndarray, steps: int) -> tuple[np.ndarray,
             break
         betas.append(beta)
         basis.append(w / beta)
-    small = np.zeros((len(basis), len(basis)))
+        left, sigma = _small(betas)
+        # what of the leading plane lies in the newest direction is what the next step could change
+        if len(betas) > 1 and beta * np.linalg.norm(left[-1, :2]) <= residual * sigma[0]:
+            break
+    left, sigma = _small(betas)
+    plane = np.stack(basis, axis=1) @ left[:, :2]
+    return plane, float(sigma[0])
+
+
+def _small(betas: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    small = np.zeros((len(betas) + 1, len(betas) + 1))
     for k, beta in enumerate(betas):
         small[k + 1, k], small[k, k + 1] = beta, -beta
     left, sigma, _ = np.linalg.svd(small)
-    plane = np.stack(basis, axis=1) @ left[:, :2]
-    return plane, float(sigma[0])
+    return left, sigma
 
 
 class _Edges:
@@ -128,10 +144,29 @@ class _Edges:
             at = np.flatnonzero(total)
             yield pd.DataFrame({"k": at, "x": total[at]})
 
+        return self._added(run)
+
+    def divergence(self, s: np.ndarray, v: np.ndarray | None, keep) -> np.ndarray:
+        """Weighted differences of v along the pairs (None: their margins), summed at the items; s gives the weights."""
+        n = self.n
+
+        def run(batches):
+            total = np.zeros(n)
+            for b in batches:
+                i, j = b["i"].to_numpy(), b["j"].to_numpy()
+                margin = b["margin"].to_numpy()
+                r = b["weight"].to_numpy() * keep(np.abs(margin - (s[i] - s[j])) * np.sqrt(b["precision"].to_numpy())) * (margin if v is None else v[i] - v[j])
+                total += np.bincount(i, r, n) - np.bincount(j, r, n)
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"k": at, "x": total[at]})
+
+        return self._added(run)
+
+    def _added(self, run) -> np.ndarray:
         parts = self.df.mapInPandas(run, "k long, x double")
         # few numbers come back as they are; many are added up before they do
-        got = (parts if self.parts * n <= self.few else parts.groupBy("k").agg(F.sum("x").alias("x"))).toPandas()
-        return np.bincount(got["k"].to_numpy(dtype=np.int64), got["x"].to_numpy(dtype=float), n)
+        got = (parts if self.parts * self.n <= self.few else parts.groupBy("k").agg(F.sum("x").alias("x"))).toPandas()
+        return np.bincount(got["k"].to_numpy(dtype=np.int64), got["x"].to_numpy(dtype=float), self.n)
 
     def spread(self, s: np.ndarray) -> float:
         """Robust scale of the standardised residuals, 1 at least."""
@@ -152,6 +187,31 @@ class _Edges:
         return float(self.df.mapInPandas(run, "c double").agg(F.sum("c")).first()[0] or 0.0)
 
 
+class _OwnEdges:
+    """The edge table within one task."""
+
+    def __init__(self, i: np.ndarray, j: np.ndarray, margin: np.ndarray, precision: np.ndarray, weight: np.ndarray, n: int):
+        self.i, self.j, self.margin, self.root, self.weight, self.n = i, j, margin, np.sqrt(precision), weight, n
+
+    def _gap(self, s: np.ndarray) -> np.ndarray:
+        return self.margin - (s[self.i] - s[self.j])
+
+    def sums(self, s: np.ndarray, v: np.ndarray, keep) -> np.ndarray:
+        gap = self._gap(s)
+        r = self.weight * keep(np.abs(gap) * self.root) * gap
+        return np.bincount(self.i, r * v[self.j], self.n) - np.bincount(self.j, r * v[self.i], self.n)
+
+    def divergence(self, s: np.ndarray, v: np.ndarray | None, keep) -> np.ndarray:
+        r = self.weight * keep(np.abs(self._gap(s)) * self.root) * (self.margin if v is None else v[self.i] - v[self.j])
+        return np.bincount(self.i, r, self.n) - np.bincount(self.j, r, self.n)
+
+    def spread(self, s: np.ndarray) -> float:
+        return max(1.0, 1.4826 * float(np.percentile(np.abs(self._gap(s)) * self.root, 50, method="inverted_cdf")))
+
+    def agreement(self, s: np.ndarray) -> float:
+        return float((self.weight * self.margin * np.sign(s[self.i] - s[self.j])).sum())
+
+
 def _weight(done: int, scale: float, p: RankingParams):
     """How much of its weight a pair keeps, by its standardised residual."""
     if not done:
@@ -161,47 +221,67 @@ def _weight(done: int, scale: float, p: RankingParams):
     return lambda z: (1.0 - np.minimum(z / (p.biweight * scale), 1.0) ** 2) ** 2 + 1e-6
 
 
-def spectral_strengths(edges: DataFrame, n: int, params: RankingParams = RankingParams()) -> np.ndarray:
-    """Strength of items 0..n-1 in log odds, centred at zero."""
-    return _strengths(_Edges(edges, n), n, params)
+def spectral_strengths(edges: DataFrame, n: int, params: RankingParams = RankingParams(), pairs: int | None = None) -> np.ndarray:
+    """Strength of items 0..n-1 in log odds, centred at zero.
+
+    A table of no more pairs than one task takes anyway (``rows_per_task``) is worked on
+    within that task; of a larger one each product is a job over all its partitions.
+    """
+    pairs = edges.count() if pairs is None else pairs
+    if pairs > params.rows_per_task:
+        return _strengths(_Edges(edges, n), n, params)
+
+    def run(batches):
+        held = pd.concat(list(batches))
+        if len(held):
+            job = _OwnEdges(*(held[c].to_numpy() for c in ("i", "j", "margin", "precision", "weight")), n)
+            yield pd.DataFrame({"k": np.arange(n), "x": _strengths(job, n, params)})
+
+    got = edges.coalesce(1).mapInPandas(run, "k long, x double").toPandas()
+    return got.sort_values("k")["x"].to_numpy(dtype=float)
+
+
+def _potential(job, s: np.ndarray, keep, p: RankingParams, left: list[int]) -> np.ndarray:
+    """Strengths whose differences fit the margins best, by conjugate gradients from s; the weights are those at s."""
+    x, goal = s, job.divergence(s, None, keep)
+    r = goal - (job.divergence(s, s, keep) if s.any() else 0.0)
+    d, size, enough = r, float(r @ r), (p.solved * float(np.linalg.norm(goal))) ** 2
+    while size > enough:
+        left[0] -= 1
+        if left[0] < 0:
+            raise ArithmeticError(f"the ranking isn't solved in {p.solver_steps} steps: the comparisons join the items too thinly")
+        q = job.divergence(s, d, keep)
+        step = size / float(d @ q)
+        x, r = x + step * d, r - step * q
+        d, size = r + float(r @ r) / size * d, float(r @ r)
+    return x - x.mean()
 
 
 def _strengths(job, n: int, p: RankingParams) -> np.ndarray:
-    ones = np.ones(n)
-    s, scale, done, xs, gs, last = np.zeros(n), 1.0, 0, [], [], np.inf
-    for _ in range(p.max_outer):
-        fit, keep = s, _weight(done, scale, p)
+    ones, left = np.ones(n), [p.solver_steps]
+    s, scale = np.zeros(n), 1.0
+    for done in range(p.reweightings + 1):
+        keep = _weight(done, scale, p)
+        for _ in range(p.rounds if done else 1):
+            new = _potential(job, s, keep, p, left)
+            moved, s = float(np.max(np.abs(new - s))), new
+            if moved < p.settled:
+                break
+        if done < p.reweightings:
+            scale = job.spread(s)
 
-        def product(v):
-            return job.sums(fit, v, keep) + fit * v.sum() - ones * (fit @ v)
+    def product(v):
+        return job.sums(s, v, keep) + s * v.sum() - ones * (s @ v)
 
-        plane, sigma = _lanczos_plane(product, ones, p.lanczos_steps)
-        if sigma == 0.0:
-            break
-        # within the plane, the direction orthogonal to the part nearest to the ones vector
-        c = plane.T @ ones
-        q = plane @ np.array([-c[1], c[0]])
-        q /= np.linalg.norm(q)
-        if job.agreement(q) < 0 if not xs and done == 0 else q @ fit < 0:
-            q = -q
-        new = q * sigma / np.sqrt(n)
-        new -= new.mean()
-        step = float(np.max(np.abs(new - fit)))
-        # a step that grows shows that the extrapolation went astray: begin it anew
-        if step > 1.5 * last:
-            xs, gs = [], []
-        last = step
-        xs, gs = [*xs, fit][-p.memory - 1 :], [*gs, new][-p.memory - 1 :]
-        s = new
-        if len(xs) > 1:
-            g, f = np.array(gs), np.array(gs) - np.array(xs)
-            theta = np.linalg.lstsq(np.diff(f, axis=0).T, f[-1], rcond=1e-8)[0]
-            s = g[-1] - np.diff(g, axis=0).T @ theta
-        if step < (p.loose if done < p.reweightings else p.tolerance):
-            if done >= p.reweightings:
-                break
-            scale, done, xs, gs, last = job.spread(s), done + 1, [], [], np.inf
-    return s if job.agreement(s) >= 0 else -s
+    plane, sigma = _lanczos_plane(product, ones, p.lanczos_steps, p.residual)
+    if sigma == 0.0:
+        return s
+    # within the plane, the direction orthogonal to the part nearest to the ones vector
+    c = plane.T @ ones
+    q = plane @ np.array([-c[1], c[0]])
+    q *= sigma / np.sqrt(n) / np.linalg.norm(q)
+    q -= q.mean()
+    return q if job.agreement(q) >= 0 else -q
 
 
 def rank_items(stats: DataFrame, params: RankingParams = RankingParams(), id_col: str = "stat_id") -> DataFrame:
@@ -233,15 +313,20 @@ def rank_items(stats: DataFrame, params: RankingParams = RankingParams(), id_col
         .join(index.select(F.col("label").alias("b"), F.col("k").alias("j"), F.col("d").alias("dj")), "b")
         .select("i", "j", F.log(x / y).alias("margin"), flat.alias("precision"), (F.lit(float(n)) * flat / (2 * F.sqrt(F.col("di") * F.col("dj")))).alias("weight"))
     )
-    edges = materialize(edges.coalesce(max(1, pairs.count() // params.rows_per_task)), "edges")
-    strengths = spectral_strengths(edges, n, params)
-    scored = spark.createDataFrame(pd.DataFrame({"k": np.arange(n), "strength": strengths}), "k long, strength double")
+    number = pairs.count()
+    edges = materialize(edges.repartition(-(-number // params.rows_per_task)) if number > params.rows_per_task else edges.coalesce(1), "edges")
+    strengths = spectral_strengths(edges, n, params, number)
     held = (
         pairs.select(F.explode(F.array(F.struct(F.col("a").alias("label")), F.struct(F.col("b").alias("label")))).alias("e"), (F.col("a_wins") + F.col("b_wins")).alias("c"))
         .groupBy("e.label")
         .agg(F.sum("c").alias("comparisons"), F.count("*").alias("opponents"))
     )
-    ranked = index.select("label", "k").join(scored, "k").withColumn("strength_rank", F.row_number().over(W.orderBy(F.desc("strength"), "label")))
+    # the strengths came to the driver, so their order does not cost another pass
+    order = sorted(range(n), key=lambda k: (-strengths[k], k))
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(1, n + 1)
+    scored = spark.createDataFrame(pd.DataFrame({"k": np.arange(n), "strength": strengths, "strength_rank": place}), "k long, strength double, strength_rank int")
+    ranked = index.select("label", "k").join(scored, "k")
     return (
         labels.join(ranked, "label", "left")
         .join(held, "label", "left")

@@ -61,3 +61,45 @@ def test_lanczos_plane_is_that_of_the_dense_decomposition():
     u, d, _ = np.linalg.svd(m)
     assert abs(sigma - d[0]) < 1e-6
     assert np.allclose(np.linalg.svd(plane.T @ u[:, :2])[1], 1, atol=1e-6)
+
+
+def chain(n, hops, seed=0):
+    rng = np.random.default_rng(seed)
+    perm, strength = rng.permutation(n), np.linspace(0.3 * n, -0.3 * n, n)
+    i = np.concatenate([np.arange(n - h) for h in range(1, hops + 1)])
+    j = i + np.repeat(np.arange(1, hops + 1), [n - h for h in range(1, hops + 1)])
+    won = rng.binomial(60, 1 / (1 + np.exp(-(strength[i] - strength[j]))))
+    x, y = won + 0.5, 60 - won + 0.5
+    flat = 1 / (1 / x + 1 / y + 0.02)
+    d = np.bincount(i, flat, n) + np.bincount(j, flat, n)
+    return ranking._OwnEdges(perm[i], perm[j], np.log(x / y), flat, n * flat / (2 * np.sqrt(d[i] * d[j])), n), perm
+
+
+def test_a_thin_chain_is_ordered_or_an_error():
+    for n in (40, 200, 1000):
+        for hops in (2, 10):
+            job, perm = chain(n, hops)
+            try:
+                s = ranking._strengths(job, n, ranking.RankingParams())[perm]
+            except ArithmeticError:
+                assert n == 1000 and hops == 2
+                continue
+            assert np.mean(np.concatenate([s[k] > s[k + 1 :] for k in range(n - 1)])) >= 0.95
+
+
+def test_too_few_steps_are_an_error():
+    import pytest
+
+    job, _ = chain(200, 2)
+    with pytest.raises(ArithmeticError, match="too thinly"):
+        ranking._strengths(job, 200, ranking.RankingParams(solver_steps=20))
+
+
+def test_jobs_over_the_table_give_what_one_task_gives(spark):
+    _, rows = votes(10)
+    d = spark.createDataFrame(rows, SCHEMA)
+    own = {r.label: r.strength for r in ranking.rank_items(d).collect()}
+    few = ranking.RankingParams(rows_per_task=9, reweightings=1, rounds=2)
+    far = {r.label: r.strength for r in ranking.rank_items(d, few).collect()}
+    near = {r.label: r.strength for r in ranking.rank_items(d, ranking.RankingParams(reweightings=1, rounds=2)).collect()}
+    assert all(abs(far[k] - near[k]) < 1e-6 for k in own)
