@@ -5,9 +5,10 @@ using a text more than max_repeats times. It is dealt out in blocks of equal siz
 Sainte-Lague apportionment: the next block goes to the source with the highest quotient
 share / (2 blocks + 1); within a source, blocks are dealt to shards of its texts the same
 way by the shards' sizes. Both are small tables (sources; shards of bounded size), solved
-by bisection on the quotient, so no loop runs over blocks. In each shard the texts stand
-in a seeded order; running sums of their sizes cut them into blocks, and the shard's quota
-is read off that order: whole passes first, then the beginning of one more.
+by bisection on the quotient, so no loop runs over blocks. In each shard, running sums of
+the texts' sizes in the order of their ids cut them into blocks of about ``draw_tokens``,
+and the blocks are drawn in a seeded order until the shard's quota is met: whole passes
+first, then blocks of one more, of the last one only the texts that are needed.
 
 A source without a target gives nothing; a target whose source has no text can't be met,
 is reported with actual share 0, and the others keep their shares to each other. A null
@@ -32,7 +33,8 @@ from .tokens import TOKENIZER, sizes
 @dataclass(frozen=True)
 class MixParams:
     seed: int = 42
-    block_tokens: int = 256
+    block_tokens: int = 256  # unit of the apportionment
+    draw_tokens: int = 2048  # about the size of the blocks of texts that are drawn
     shard_tokens: int = 2_000_000  # least size of a shard of one source
     max_shards: int = 10_000  # about as many shards at most, however large the corpus: they grow with it
     total_tokens: int | None = None  # None: as much as the shares and max_repeats allow
@@ -86,11 +88,10 @@ def shard_sizes(documents: DataFrame, targets: DataFrame, params: MixParams = Mi
         raise ValueError(f"more than {params.max_sources} sources")
     size = max(params.shard_tokens, -(-sum(held.values()) // params.max_shards))
     shards = {s: max(1, t // size) for s, t in held.items()}
-    number = F.lit(1)
-    if any(k > 1 for k in shards.values()):
-        number = F.coalesce(F.create_map(*[x for s, k in shards.items() for x in (F.lit(s), F.lit(k))])[F.col("source")], F.lit(1))
+    # as many rows as sources: a small table, whatever the size of the corpus
+    counts = sized.sparkSession.createDataFrame(sorted(shards.items()), "source string, shards bigint")
     place = F.xxhash64(F.lit(params.seed), F.col("doc_id"))
-    texts = sized.select("doc_id", "source", F.pmod(place, number).cast("int").alias("shard"), F.xxhash64(F.lit(params.seed + 1), F.col("doc_id")).alias("place"), "n_tokens")
+    texts = sized.join(counts, "source").select("doc_id", "source", F.pmod(place, F.col("shards")).cast("int").alias("shard"), "n_tokens")
     sums = [r.asDict() for r in texts.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens")).orderBy("source", "shard").collect()]
     return texts, sums
 
@@ -111,8 +112,11 @@ def quotas(goals: list[tuple[str, float, int]], shards: list[dict], params: MixP
     block = max(1, min(params.block_tokens, int(total) // 4096))
     blocks = sainte_lague([share for _, share, _ in live], int(total) // block, [room[s] // block for s, _, _ in live])
     out = {}
+    by_source: dict[str, list[dict]] = {}
+    for x in shards:
+        by_source.setdefault(x["source"], []).append(x)
     for (s, _, reps), k in zip(live, blocks):
-        own = [x for x in shards if x["source"] == s]
+        own = by_source[s]
         for x, q in zip(own, sainte_lague([float(x["tokens"]) for x in own], k, [reps * x["tokens"] // block for x in own])):
             out[(s, x["shard"])] = q * block
     return out
@@ -130,8 +134,12 @@ def mix(documents: DataFrame, targets: DataFrame, params: MixParams = MixParams(
     held = {(x["source"], x["shard"]): x["tokens"] for x in shards}
     rows = [(s, k, q // held[(s, k)], q % held[(s, k)], limit[s]) for (s, k), q in sorted(wanted.items())]
     quota = spark.createDataFrame(rows, "source string, shard int, passes bigint, rest bigint, most int")
-    run = W.partitionBy("source", "shard").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    drawn = texts.join(quota, ["source", "shard"]).withColumn("upto", F.sum("n_tokens").over(run))
+    # texts that lie together by id make a block; the blocks of a shard are drawn in a seeded order
+    shard = W.partitionBy("source", "shard")
+    before = F.sum("n_tokens").over(shard.orderBy("doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n_tokens")
+    placed = texts.withColumn("block", F.floor(before / F.lit(params.draw_tokens)))
+    run = shard.orderBy(F.xxhash64(F.lit(params.seed + 1), "block"), "block", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    drawn = placed.withColumn("upto", F.sum("n_tokens").over(run)).join(quota, ["source", "shard"])
     # the last text of the quota is taken if at least half of it lies within
     extra = (F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest")).cast("bigint")
     copies = F.least(F.col("passes") + extra, F.col("most").cast("bigint"))
