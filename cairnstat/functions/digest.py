@@ -81,6 +81,12 @@ def dummy_generation(prompt) -> Column:
     return F.concat(F.lit("Answer: candidate-"), F.substring(digest, 1, 4), F.lit("\nDecision: "), decision, F.lit("\nConfidence: "), share.cast("string"))
 
 
+def dummy_choice(prompt) -> Column:
+    """STR17: a model's reply to a prompt that asks for one of two sources, from the digest alone."""
+    even = F.conv(F.substring(sha256(prompt), 1, 8), 16, 10).cast("bigint") % 2 == 0
+    return F.concat(F.lit("Choice: "), F.when(even, F.lit("1")).otherwise(F.lit("2")))
+
+
 def dummy_logprob(prompt, candidate) -> Column:
     """STR17: a candidate's mean token log-probability from the digest."""
     return -F.lit(0.5) - uniform(_joined(col(prompt), col(candidate))) * 4.0

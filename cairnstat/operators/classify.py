@@ -47,6 +47,36 @@ def knowledge_group(answer, decision, malformed, gold, aliases) -> Column:
     return first_rule([(answer_status(answer, decision, malformed) != "answer", "excluded"), (is_match(answer, gold, aliases), "KC"), (is_clean_candidate(answer), "KW")], "manual_review")
 
 
+#: Why an item makes no conflict trial.
+NOT_CONFLICT, REVIEW, UNRECOGNIZED, MULTI_OBJECT = "relation_not_primary_conflict", "relation_requires_review", "relation_unrecognized", "relation_multi_object"
+
+
+def conflict_reason(relation, subject, multi_object, primary: list[str], review: list[str], excluded: list[str]) -> Column:
+    """FLT2-FLT4: why an item makes no conflict trial, null if it does. The relation is judged first; without a relation or a subject it needs review."""
+    r = col(relation)
+    rules = [(r.isNull(), REVIEW), (r.isin(*excluded), NOT_CONFLICT), (r.isin(*review), REVIEW), (~r.isin(*primary), UNRECOGNIZED), (col(subject).isNull(), REVIEW), (col(multi_object), MULTI_OBJECT)]
+    return first_rule(rules)
+
+
+def assigned_group(group, foil) -> tuple[Column, Column]:
+    """FLT9: the knowledge group and the reason for exclusion; a right answer without a foil is excluded."""
+    lacks = (col(group) == "KC") & col(foil).isNull()
+    return F.when(lacks, F.lit("excluded")).otherwise(col(group)), F.when(lacks, F.lit("no_defensible_foil"))
+
+
+def eligible(group, conflict_reason_) -> Column:
+    """FLT10: a known group, and nothing against a conflict trial."""
+    return F.coalesce(col(group).isin("KC", "KW") & col(conflict_reason_).isNull(), F.lit(False))
+
+
+def status_breaks(df: DataFrame, status: str, family: str, reason: str, legal: list[tuple[str, str]], unreasoned: str = "NOT APPLICABLE") -> DataFrame:
+    """FLT20: rows with a pair that the table of legal ones lacks, or that aren't applicable without a reason; ``breach`` says which."""
+    allowed = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in legal])
+    known = F.coalesce(F.array_contains(allowed, F.struct(F.col(status).alias("x"), F.col(family).alias("y"))), F.lit(False))
+    bare = (F.col(status) == unreasoned) & (F.coalesce(F.trim(reason), F.lit("")) == "")
+    return df.withColumn("breach", first_rule([(~known, "illegal pair"), (bare, "no reason")])).where("breach is not null")
+
+
 def illegal_pairs(df: DataFrame, a: str, b: str, legal: list[tuple[str, str]]) -> DataFrame:
     """FLT20: distinct (a, b) of the rows that the table of legal pairs lacks."""
     allowed = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in legal])

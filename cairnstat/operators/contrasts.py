@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.stats import exact_p, saturation, tango_interval
+from ..functions.stats import exact_p, holm, saturation, tango_interval
 
 CELLS = ("both", "a_only", "b_only", "neither")
 
@@ -98,16 +98,31 @@ def replication_class(contrasts: DataFrame, point: float, alpha: float = 0.05) -
 
 
 def secondary_class(contrasts: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """FLT19: category of each secondary contrast by its Holm-adjusted p."""
+    """FLT19: category of each secondary contrast by its Holm-adjusted p. A contrast that shares another's observations (``counted_once_with``) has none of its own."""
     weak = F.col("diagnostics.saturated") | (F.col("discordant_pairs") < 5)
     shown = (F.col("risk_difference") > 0) & excludes_zero()
+    once = F.coalesce(F.trim("counted_once_with") != "", F.lit(False)) if "counted_once_with" in contrasts.columns else F.lit(False)
     category = (
-        F.when((F.col("n") == 0) | weak, "INCONCLUSIVE").when(shown & (F.col("holm_p") < alpha), "DIRECTIONAL EFFECT CONFIRMED")
+        F.when(F.col("n") == 0, "INCONCLUSIVE").when(once, "COUNTED ONCE").when(weak, "INCONCLUSIVE").when(shown & (F.col("holm_p") < alpha), "DIRECTIONAL EFFECT CONFIRMED")
         .when(shown, "DIRECTIONAL, NOT MULTIPLICITY-SURVIVING").otherwise("NON-REPLICATION")
     )
     return contrasts.withColumn("category", category)
 
 
+def holm_family(registry: DataFrame, results: DataFrame, name: str, family: list[str], p: str) -> DataFrame:
+    """JN15, VER11: every row of the registry, whether its result is a member of its family, why not, and the adjusted p of members.
+
+    registry has the keys and may have gate_reason (not eligible, whatever the result).
+    """
+    keys = [*family, name]
+    d = registry.join(results.select(*keys, F.col(p).alias("p_value"), F.lit(True).alias("_there")), keys, "left")
+    gate = F.nullif(F.trim("gate_reason"), F.lit("")) if "gate_reason" in registry.columns else F.lit(None).cast("string")
+    reason = F.when(F.col("_there").isNull(), "not computed").when(gate.isNotNull(), gate).when(F.col("p_value").isNull(), "no single test statistic").otherwise("included")
+    d = d.withColumn("reason", reason).withColumn("included", F.col("reason") == "included")
+    d = d.withColumn("_p", F.when(F.col("included"), F.col("p_value")))
+    return holm(d, "_p", name, family).select(*keys, "included", "reason", "p_value", "holm_p")
+
+
 def flagged_names(contrasts: DataFrame, flag: Column, name: str, groups: list[str]) -> DataFrame:
     """AGG32: the sorted names of flagged contrasts of each group."""
     return contrasts.groupBy(*groups).agg(F.array_sort(F.collect_list(F.when(flag, F.col(name)))).alias("names"))

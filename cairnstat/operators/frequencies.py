@@ -1,7 +1,8 @@
 """Cumulative frequencies of values within groups of any size, and order statistics read from them.
 
 Values are reduced to counts first, so a value that a third of all rows share is one row.
-A column of more than ROWS_PER_RANGE rows is cut into ranges at its own quantiles; each
+A column of more than ROWS_PER_RANGE rows is cut into ranges at its own quantiles, whose
+number follows the number of rows; each
 (group, range) cell is sorted and summed by a window of its own and the totals of the
 lower ranges are added as offsets. No group is ever gathered in one task. A shorter column
 is one range, so its groups are windows over at most ROWS_PER_RANGE rows.
@@ -27,14 +28,22 @@ def frequencies(df: DataFrame, groups: list[str], value: str) -> DataFrame:
 
 
 def split_points(df: DataFrame, value: str) -> list[float]:
-    """Upper bounds of the ranges: quantiles of the column, as many as its size asks for, RANGES - 1 at most."""
+    """Upper bounds of the ranges: quantiles of the column, one range for every ROWS_PER_RANGE rows.
+
+    One pass gives RANGES quantiles, enough for RANGES * ROWS_PER_RANGE rows; a longer
+    column is read once more for as many as it needs.
+    """
     v = F.col(value).cast("double")
-    found = df.where(v.isNotNull() & ~F.isnan(v)).agg(F.count("*"), F.percentile_approx(v, [k / RANGES for k in range(1, RANGES)], 20000)).first()
-    n, points = found[0], found[1] or []
-    wanted = min(RANGES, -(-n // ROWS_PER_RANGE))
+    rows = df.where(v.isNotNull() & ~F.isnan(v))
+    quantiles = lambda k: F.percentile_approx(v, [i / k for i in range(1, k)], 20 * k)
+    n, points = rows.agg(F.count("*"), quantiles(RANGES)).first()
+    wanted = -(-n // ROWS_PER_RANGE)
     if wanted <= 1:
         return []
-    step = max(1, RANGES // wanted)
+    if wanted > RANGES:
+        points, step = rows.agg(quantiles(wanted)).first()[0], 1
+    else:
+        step = max(1, RANGES // wanted)
     return sorted(set(points[step - 1 :: step]))
 
 

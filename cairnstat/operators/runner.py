@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.digest import dummy_generation
+from ..functions.digest import dummy_choice, dummy_generation
 from ..session import ship
 from ..functions.text import is_match, parse_choice, parse_response, render, selected_source
 from .expand import presentations, unordered_pairs
@@ -49,7 +49,8 @@ def calibration_trials(sources: DataFrame, groups: list[str], label: str, templa
     """RUN5: all pairs of sources in both orders, prompted, answered and read."""
     shown = presentations(unordered_pairs(sources, groups, label))
     asked = shown.withColumn("prompt", render(template, source_1=F.col("displayed_source_1"), source_2=F.col("displayed_source_2")))
-    made = generate(asked, adapter).withColumn("parsed_choice", parse_choice("raw_generation"))
+    made = asked.withColumn("raw_generation", dummy_choice("prompt")) if adapter is None else generate(asked, adapter)
+    made = made.withColumn("parsed_choice", parse_choice("raw_generation"))
     return made.withColumn("selected_source", selected_source("parsed_choice", "displayed_source_1", "displayed_source_2"))
 
 

@@ -44,6 +44,34 @@ def in_all(df: DataFrame, id_col: str, member: str, members: int) -> DataFrame:
     return df.groupBy(id_col).agg(F.countDistinct(member).alias("_m")).where(F.col("_m") == members).select(id_col)
 
 
+def cohort_supply(df: DataFrame, bin_col: str, bins: list[str], target: int) -> DataFrame:
+    """SMP4: for each bin, also an empty one, how many are available and selected, the shortfall, and the state of the whole."""
+    spark = df.sparkSession
+    grid = spark.createDataFrame([(b,) for b in bins], f"`{bin_col}` string")
+    zero = F.lit(0).cast("bigint")
+    counted = grid.join(df.groupBy(bin_col).agg(F.count("*").alias("available")), bin_col, "left").withColumn("available", F.coalesce("available", zero))
+    d = counted.withColumns({"selected": F.least("available", F.lit(target).cast("bigint")), "shortfall": F.greatest(F.lit(target) - F.col("available"), zero)})
+    # as many rows as bins
+    short = F.sum("shortfall").over(W.partitionBy(F.lit(0)))
+    return d.withColumn("state", F.when(short > 0, "ELIGIBILITY_LIMITED").otherwise("COMPLETE"))
+
+
+def shared_quota(df: DataFrame, id_col: str, member: str, members: int, part: str, parts: list[str], target: int, seed: int, salt: str) -> DataFrame:
+    """SMP6: ids that all members have, with one and the same listed part, an equal quota of each part drawn by the seed."""
+    shared = df.groupBy(id_col).agg(F.countDistinct(member).alias("_m"), F.count_if(F.col(part).isNull()).alias("_null"), F.min(part).alias(part), F.max(part).alias("_other"))
+    ok = (F.col("_m") == members) & (F.col("_null") == 0) & (F.col(part) == F.col("_other")) & F.col(part).isin(*parts)
+    return take(shared.where(ok).select(id_col, part), target // len(parts), seed, id_col, [part], salt)
+
+
+def member_records(members: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
+    """JN5: each member with its record; a member without one is an error when the plan runs."""
+    found = records.withColumn("_found", F.lit(True))
+    joined = members.join(found, keys, "left")
+    first = keys[0]
+    absent = F.raise_error(F.concat(F.lit("a member has no record: "), F.concat_ws("|", *[F.col(k).cast("string") for k in keys])))
+    return joined.withColumn(first, F.when(F.col("_found"), F.col(first)).otherwise(absent.cast(members.schema[first].dataType))).drop("_found")
+
+
 def ladder(df: DataFrame, groups: list[str], cell: list[str], bin_col: str, bins: int, least: int, target: int, seed: int, id_col: str) -> DataFrame:
     """SMP5: from each cell x bin the same number of rows, as many as the smallest qualifying one has, up to ``target``.
 

@@ -43,6 +43,13 @@ def strata_record(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     return marked.groupBy(*groups).agg(F.first("edges").alias("edges"), F.count("*").alias("assigned_items"), *[F.count_if(F.col("_s") == s).alias(s) for s in LABELS])
 
 
+def adoption_by_stratum(df: DataFrame, groups: list[str], stratum: str, outcome: str) -> DataFrame:
+    """AGG27: trials, adopted ones and their rate for every stratum of each group; without trials 0, 0 and null."""
+    own = df.where(F.col(stratum).isin(*LABELS)).groupBy(*groups, stratum).agg(F.count("*").alias("trials"), F.count_if(F.col(outcome)).alias("adopted"))
+    grid = df.select(*groups).distinct().select(*groups, F.explode(F.array(*[F.lit(x) for x in LABELS])).alias(stratum))
+    return on_grid(own, grid, [*groups, stratum], ["trials", "adopted"]).withColumn("rate", F.try_divide("adopted", "trials"))
+
+
 def on_grid(counts: DataFrame, grid: DataFrame, keys: list[str], numbers: list[str]) -> DataFrame:
     """AGG17, AGG27: counts for every cell of a small grid, 0 where there are none."""
     return grid.join(counts, keys, "left").withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in numbers})

@@ -93,6 +93,14 @@ def histogram(df: DataFrame, groups: list[str], column: str) -> DataFrame:
     return per.groupBy(*groups).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_v", "_n")))).alias("histogram"))
 
 
+def diagnostics(df: DataFrame, groups: list[str]) -> DataFrame:
+    """AGG26: rows, and the rates of abstention, right answers, review, failed parsing and asserted answers without commitment."""
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    tentative = (F.col("decision") == "uncertain") & (F.col("asserted_answer") != "") & (F.lower(F.trim("parsed_answer")) == F.lower(F.trim("asserted_answer")))
+    rates = {"abstention_rate": F.col("decision") == "uncertain", "accuracy": F.col("final_correct"), "review_rate": F.col("manual_review"), "parse_failure_rate": F.col("malformed"), "tentative_rate": tentative}
+    return df.groupBy(*groups).agg(F.count("*").alias("n"), *[F.avg(flag(c)).alias(k) for k, c in rates.items()])
+
+
 def first_reason(*reasons: str) -> Column:
     """FLT13: the first reason that is neither null nor empty."""
     return F.coalesce(*[F.nullif(F.col(r), F.lit("")) for r in reasons])

@@ -45,6 +45,11 @@ def in_both(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys).intersect(b.select(*keys))
 
 
+def in_either(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """SET3: distinct keys of either."""
+    return a.select(*keys).union(b.select(*keys)).distinct()
+
+
 def forbidden_columns(df: DataFrame, forbidden: set[str]) -> list[str]:
     """FLT11: columns, nested ones included, that must not be there. Read from the schema, no job runs."""
     found = []

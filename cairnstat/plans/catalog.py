@@ -112,7 +112,7 @@ def _raw_items(spark, sf_dir):
     return raw.select("id", "subj", "prop", "obj", "question", F.concat(F.lit("["), F.concat_ws(", ", F.transform(F.coalesce("aliases", F.array().cast("array<string>")), quote)), F.lit("]")).alias("o_aliases"), F.when(F.col("obj").isNotNull(), F.col("obj")).alias("possible_answers"))
 
 
-@query("SRC1 STR5 FLT1", f"""
+@query("STR5 FLT1", f"""
 with r as ({_RAW_ITEM.format(interim_item='interim_item')}),
 m as (select *, case when {_strip("coalesce(question, '')")} = '' then 'empty_question' when {_strip("coalesce(obj, '')")} = '' then 'empty_gold_answer' end as reason from r)
 select id, reason, case when reason is null then array_to_string(list_sort(list_distinct(list_concat(coalesce(aliases, []), [{_strip('obj')}]))), '|') end as aliases,
@@ -184,7 +184,7 @@ def q12_class_histogram(spark, sf_dir):
     return h.select("model_key", F.concat_ws(",", F.transform(F.array_sort(F.map_entries("histogram")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))).alias("classes"))
 
 
-@query("FLT6 FLT9 FLT13", cte("response") + f"""
+@query("FLT6", cte("response") + f"""
 , w as (select record_id, coalesce(parsed_answer, '') as a, len(list_filter(regexp_split_to_array({_strip("coalesce(parsed_answer, '')")}, '{_WS}+'), lambda x: x <> '')) as n_words,
         {_norm('parsed_answer')} <> '' and list_contains({_aliases('gold_answer', 'gold_aliases')}, {_norm('parsed_answer')}) as matched from response)
 select record_id, n_words, n_words <= 6 and not (contains(lower(a), ',') or contains(lower(a), ' or ') or contains(lower(a), ' and ')) as clean, matched from w""")
@@ -246,7 +246,7 @@ def q18_supply_by_block(spark, sf_dir):
     return strata.supply_by_block(_screened(spark, sf_dir), ["relation"], "margin", []).select("relation", "upto_block", "stratum", "supply")
 
 
-@query("WIN6 RUN7 VER9", _SUPPLY + "select relation, min(case when ok >= 3 then upto_block end) as stop_block from (select relation, upto_block, count(*) filter (supply >= 40) as ok from s group by 1, 2) group by 1")
+@query("WIN6", _SUPPLY + "select relation, min(case when ok >= 3 then upto_block end) as stop_block from (select relation, upto_block, count(*) filter (supply >= 40) as ok from s group by 1, 2) group by 1")
 def q19_first_block_met(spark, sf_dir):
     return strata.first_block_met(strata.supply_by_block(_screened(spark, sf_dir), ["relation"], "margin", []), ["relation"], 3, 40)
 
@@ -258,7 +258,7 @@ def q20_balanced_sample(spark, sf_dir):
     return sampling.balanced(view(spark, sf_dir, "item").select("item_id", "relation"), 100, 42, "item_id", "relation")
 
 
-@query("SMP3 SMP4 FLT10", cte("item") + _EDGES + """
+@query("SMP3", cte("item") + _EDGES + """
 select item_id, relation, stratum from s where knowledge_group = 'KW' qualify row_number() over (partition by relation, stratum order by sha256('42|A:' || relation || ':' || stratum || '|' || item_id), item_id) <= 8""")
 def q21_stratified_take(spark, sf_dir):
     s = strata.stratify(view(spark, sf_dir, "item"), ["relation", "knowledge_group"], "margin").where("knowledge_group = 'KW'")
@@ -276,12 +276,12 @@ def q22_ladder(spark, sf_dir):
     return sampling.ladder(s, ["knowledge_group"], ["relation"], "stratum", 3, 10, 40, 42, "item_id").select("item_id", "knowledge_group", "relation", "stratum", F.col("realized").cast("bigint").alias("realized"))
 
 
-@query("JN4 SMP6 SET4", cte("response") + "select item_id from response where baseline_correct group by 1 having count(distinct model_key) = 4")
+@query("JN4 SET4", cte("response") + "select item_id from response where baseline_correct group by 1 having count(distinct model_key) = 4")
 def q23_in_all_models(spark, sf_dir):
     return sampling.in_all(view(spark, sf_dir, "response").where("baseline_correct"), "item_id", "model_key", 4)
 
 
-@query("JN3 AGG31", "select item_id from interim_item where item_id not in (select distinct item_id from baseline_record where knowledge_group = 'KW' and item_id is not null)")
+@query("JN3", "select item_id from interim_item where item_id not in (select distinct item_id from baseline_record where knowledge_group = 'KW' and item_id is not null)")
 def q24_fresh_items(spark, sf_dir):
     used = table(spark, sf_dir, "baseline_record").where("knowledge_group = 'KW'")
     return sampling.without(table(spark, sf_dir, "interim_item"), used, "item_id").select("item_id")
@@ -330,7 +330,7 @@ def q28_conditions(spark, sf_dir):
     return _planned(spark, sf_dir).select("item_id", "condition", "evidence_truth", "conflict_status", "source_label", "asserted_answer")
 
 
-@query("EXP3 EXP6 SET2", cte("item") + """
+@query("EXP3 SET2", cte("item") + """
 , c as (select * from (values ('C0', 'none'), ('C1', 'true'), ('C2', 'true'), ('C3', 'false'), ('C4', 'false')) v(condition, evidence_truth))
 select condition, knowledge_group, evidence_truth, count(*) as n, count(distinct case when evidence_truth = 'true' then gold_answer when evidence_truth = 'false' then (case when knowledge_group = 'KC' then foil_answer else memory_answer end) end) as answers
 from item cross join c group by 1, 2, 3""")
@@ -354,7 +354,7 @@ o as (select *, substr(sha256(concat('phase3|', model_key, '|UNRESOLVED|', item_
 """
 
 
-@query("STR9 STR11 STR12 VER10", _IDENTIFIED + "select item_id, condition, prompt_hash, observation_id from o")
+@query("STR9 STR11 STR12", _IDENTIFIED + "select item_id, condition, prompt_hash, observation_id from o")
 def q30_prompt_hashes(spark, sf_dir):
     return _identified(spark, sf_dir).select("item_id", "condition", "prompt_hash", "observation_id")
 
@@ -386,7 +386,7 @@ def q34_degenerate_contrasts(spark, sf_dir):
     return dedup.degenerate_contrasts(dedup.alias_map(_identified(spark, sf_dir)), [("K1=M1", "K1", "M1"), ("M1=M2", "M1", "M2")])
 
 
-@query("JN5 JN6 AGG25", _IDENTIFIED + """
+@query("JN6", _IDENTIFIED + """
 , g as (select observation_id, model_key, item_id, string_agg(distinct condition, '|' order by condition) as conditions, max(asserted_answer) as asserted_answer from o group by 1, 2, 3)
 select observation_id, g.model_key, g.item_id, conditions, asserted_answer, gold_answer from g join item using (item_id)""")
 def q35_run_plan(spark, sf_dir):
@@ -404,7 +404,7 @@ def q36_outcome_lookup(spark, sf_dir):
     return dedup.outcomes(dedup.alias_map(ident), obs, "outcome").groupBy("model_key", "condition").agg(F.count("*").alias("n"), F.count_if("outcome").alias("adopted"))
 
 
-@query("STR10 STR13 STR14", cte("response") + "select record_id, sha256(concat('baseline|', model_key, '|', item_id, '|C0|v1|42')) as record_key, coalesce(split_part(concat(model_key, '|', item_id), '|', 2), '') as second from response")
+@query("STR10 STR14", cte("response") + "select record_id, sha256(concat('baseline|', model_key, '|', item_id, '|C0|v1|42')) as record_key, coalesce(split_part(concat(model_key, '|', item_id), '|', 2), '') as second from response")
 def q37_record_keys(spark, sf_dir):
     d = view(spark, sf_dir, "response")
     return d.select("record_id", digest.record_key("baseline", F.col("model_key"), F.col("item_id"), "C0", "v1", 42).alias("record_key"), F.coalesce(F.element_at(text.split_key(F.concat_ws("|", "model_key", "item_id")), 2), F.lit("")).alias("second"))
@@ -421,7 +421,7 @@ def q38_dummy_run(spark, sf_dir):
 # ---- rates -------------------------------------------------------------------------------
 
 
-@query("AGG4 FLT12", cte("trial") + "select model_key, round(avg(cast(context_adopted as int)) filter (conflict_status = 'conflict'), 9) as rate, count(*) filter (conflict_status = 'conflict') as n from trial group by 1")
+@query("AGG4", cte("trial") + "select model_key, round(avg(cast(context_adopted as int)) filter (conflict_status = 'conflict'), 9) as rate, count(*) filter (conflict_status = 'conflict') as n from trial group by 1")
 def q39_adoption_rate(spark, sf_dir):
     return summaries.rate(view(spark, sf_dir, "trial"), ["model_key"], F.col("context_adopted"), F.col("conflict_status") == "conflict").withColumn("rate", F.round("rate", 9))
 
@@ -483,7 +483,7 @@ def _paired(spark, sf_dir):
     return contrasts.pair_items(d, ["model_key", "knowledge_group", "relation", "margin", "item_id"], "source_role", "context_adopted", F.lit("preferred"), F.lit("dispreferred"))
 
 
-@query("JN8 JN10 AGG10", _PAIRED + f"select model_key, knowledge_group, {_CELLS} from pp group by 1, 2")
+@query("JN8 AGG10", _PAIRED + f"select model_key, knowledge_group, {_CELLS} from pp group by 1, 2")
 def q46_paired_cells(spark, sf_dir):
     return contrasts.cells(_paired(spark, sf_dir), ["model_key", "knowledge_group"])
 
@@ -561,7 +561,7 @@ def _by_relation(spark, sf_dir):
     return stats.holm(t, "exact_p", "relation", ["model_key"])
 
 
-@query("WIN4 JN15", _HOLM + "select model_key, relation, exact_p, round(holm_p, 9) as holm_p from hh")
+@query("WIN4", _HOLM + "select model_key, relation, exact_p, round(holm_p, 9) as holm_p from hh")
 def q52_holm(spark, sf_dir):
     return _by_relation(spark, sf_dir).select("model_key", "relation", "exact_p", r9("holm_p"))
 
@@ -600,7 +600,7 @@ def q57_restrictions(spark, sf_dir):
     return contrasts.cells(contrasts.within(contrasts.restrict(_paired(spark, sf_dir), "relation", "country"), shared, ["item_id"]), ["model_key"])
 
 
-@query("AGG27 AGG17", cte("item") + _EDGES + """
+@query("AGG17", cte("item") + _EDGES + """
 , g as (select r.relation, k.knowledge_group, s.stratum from (select distinct relation from item) r cross join (select unnest(['KC', 'KW']) as knowledge_group) k cross join (select unnest(['low', 'medium', 'high']) as stratum) s)
 select relation, knowledge_group, stratum, count(s.item_id) as n from g left join s using (relation, knowledge_group, stratum) group by 1, 2, 3""")
 def q58_strata_grid(spark, sf_dir):
@@ -610,7 +610,7 @@ def q58_strata_grid(spark, sf_dir):
     return strata.on_grid(s.groupBy("relation", "knowledge_group", "stratum").agg(F.count("*").alias("n")), grid, ["relation", "knowledge_group", "stratum"], ["n"])
 
 
-@query("WIN7 SNK7", cte("trial") + """
+@query("WIN7", cte("trial") + """
 , q as (select model_key, quantile_cont(margin, 0.25) as q1, quantile_cont(margin, 0.5) as q2, quantile_cont(margin, 0.75) as q3, count(*) as n from trial group by 1),
 b as (select trial.*, cast(margin >= q1 as int) + cast(margin >= q2 as int) + cast(margin >= q3 as int) as bin from trial join q using (model_key) where n >= 4)
 select model_key, bin, count(*) as n, round(avg(margin), 6) as mean_value, round(avg(cast(context_adopted as int)), 9) as rate from b group by 1, 2""")
@@ -632,7 +632,7 @@ def q60_pair_enumeration(spark, sf_dir):
 _VOTES = f"""select distinct stat_id, source_a, source_b, case {_CHOICE} when 'Choice: 1' then source_a when 'Choice: 2' then source_b end as selected_source from {{pairwise_stat}}"""
 
 
-@query("AGG13 RUN5", f"""with t as ({_VOTES.format(pairwise_stat='pairwise_stat')})
+@query("AGG13", f"""with t as ({_VOTES.format(pairwise_stat='pairwise_stat')})
 select source_a, source_b, count(*) as n_trials, count(selected_source) as n_valid, count(*) filter (selected_source = source_a) as a_wins, count(*) filter (selected_source = source_b) as b_wins,
        round(case when count(selected_source) > 0 then count(*) filter (selected_source = source_a) / count(selected_source) end, 9) as p_a_preferred from t group by 1, 2""")
 def q61_pairwise_stats(spark, sf_dir):
@@ -678,10 +678,11 @@ def q65_stability(spark, sf_dir):
 
 
 @query("JN12 SET5", """
-with p as (select item_id, count(*) as planned from interim_item group by 1), r as (select item_id, count(*) as returned from baseline_record where run_id like '%0' group by 1)
+with p as (select item_id, count(*) as planned from interim_item group by 1), r as (select item_id, count(*) as returned from baseline_record group by 1)
 select item_id, coalesce(planned, 0) as planned, coalesce(returned, 0) as returned from p full join r using (item_id) where coalesce(planned, 0) <> 1 or coalesce(returned, 0) <> 1""")
 def q66_bijection(spark, sf_dir):
-    return verify.bijection(table(spark, sf_dir, "interim_item"), table(spark, sf_dir, "baseline_record").where("run_id like '%0'"), "item_id")
+    """Items against the responses of all runs together."""
+    return verify.bijection(table(spark, sf_dir, "interim_item"), table(spark, sf_dir, "baseline_record"), "item_id")
 
 
 @query("JN12 SET5", """
@@ -691,32 +692,33 @@ r as (select run_id, model_key, item_id, count(*) as returned from d group by al
 select run_id, model_key, item_id, coalesce(planned, 0) as planned, coalesce(returned, 0) as returned from p full join r using (run_id, model_key, item_id)
 where coalesce(planned, 0) <> 1 or coalesce(returned, 0) <> 1""")
 def q66_bijection_runs(spark, sf_dir):
-    """All runs, each against the whole plan; q66_bijection has the runs whose id ends in 0 only, mixed."""
+    """Each run and model against the whole plan."""
     key = ["run_id", "model_key", "item_id"]
     d = table(spark, sf_dir, "baseline_record").select("record_id", *key).distinct()
     planned = table(spark, sf_dir, "interim_item").select("item_id").crossJoin(d.select("run_id", "model_key").distinct())
     return verify.bijection(planned, d, key)
 
 
-@query("JN13 JN14", """
-with b as (select distinct model_key, block_no from margin_score where block_no is not null and not (model_key = 'cedar' and block_no = 1)),
-e as (select *, row_number() over (partition by model_key order by block_no) - 1 as expected from b)
-select model_key, block_no, cast(expected as int) as expected from e where block_no <> expected""")
+@query("JN14", """
+with b as (select distinct model_key, relation, item_id, block_no from margin_score where block_no is not null),
+e as (select *, row_number() over (partition by model_key, relation, item_id order by block_no) - 1 as expected from b)
+select model_key, relation, item_id, block_no, cast(expected as int) as expected from e where block_no <> expected""")
 def q67_block_gaps(spark, sf_dir):
-    d = table(spark, sf_dir, "margin_score").where("block_no is not null and not (model_key = 'cedar' and block_no = 1)")
-    return verify.block_gaps(d, ["model_key"], "block_no").withColumn("expected", F.col("expected").cast("int"))
+    """Blocks behind the first one in which an item wasn't scored by a model."""
+    d = table(spark, sf_dir, "margin_score").where("block_no is not null")
+    return verify.block_gaps(d, ["model_key", "relation", "item_id"], "block_no").withColumn("expected", F.col("expected").cast("int"))
 
 
-@query("JN13 JN14", """
+@query("JN14", """
 with b as (select distinct model_key, block_no from margin_score where block_no is not null),
 e as (select *, row_number() over (partition by model_key order by block_no) - 1 as expected from b)
 select model_key, block_no, cast(expected as int) as expected from e where block_no <> expected""")
 def q67_block_gaps_all(spark, sf_dir):
-    """The whole table; q67_block_gaps leaves out a block to make a gap."""
+    """Blocks behind the first one that a model lacks altogether."""
     return verify.block_gaps(table(spark, sf_dir, "margin_score").where("block_no is not null"), ["model_key"], "block_no").withColumn("expected", F.col("expected").cast("int"))
 
 
-@query("VER2 VER3 FLT11", """
+@query("VER2 VER3", """
 with f as (select distinct record_id, unnest(list_filter([case when not coalesce(model_revision is not null and lower(trim(model_revision)) not in ('', 'main', 'latest', 'master', 'head'), false) then 'revision' end,
   case when not coalesce(parsed_confidence between 0 and 100, false) then 'confidence' end, case when not coalesce(received_at >= generated_at, false) then 'late' end,
   case when not coalesce(knowledge_group in ('KC', 'KW', 'excluded', 'manual_review'), false) then 'group' end], lambda x: x is not null)) as failure from baseline_record)
@@ -727,7 +729,7 @@ def q68_verify_records(spark, sf_dir):
     return verify.failures(d, ["record_id"], checks).distinct()
 
 
-@query("SET3 SET4 SET5", "select item_id from interim_item except select item_id from baseline_record")
+@query("SET5", "select item_id from interim_item except select item_id from baseline_record")
 def q69_set_difference(spark, sf_dir):
     return verify.only_in_first(table(spark, sf_dir, "interim_item"), table(spark, sf_dir, "baseline_record"), ["item_id"])
 
@@ -793,7 +795,7 @@ def q76_study_table(spark, sf_dir):
     return t.select("contrast", "n", "a_only", "b_only", *[r9(c) for c in ("risk_difference", "ci_lower", "ci_upper", "exact_p")])
 
 
-@query("SMP7 FLT20 FLT21 JN16", """
+@query("SMP7 FLT21 JN16", """
 with m as (select distinct item_id from baseline_record where knowledge_group = 'KW' and item_id is not null)
 select 'all' as cohort, i.item_id, case when m.item_id is not null then 'used' else i.prop end as status from interim_item i left join m using (item_id)
 union all select 'named', i.item_id, i.prop from interim_item i where subj is not null""")
@@ -842,6 +844,9 @@ def q85_bootstrap(spark, sf_dir):
     return bootstrap.bootstrap_interval(contrasts.cells(_paired(spark, sf_dir), ["model_key", "knowledge_group"]), ["model_key", "knowledge_group"])
 
 
+from . import artifacts, study  # noqa: E402,F401 - they register their queries here
+
+
 def flagship(spark, sf_dir):
     return q50_contrast_report(spark, sf_dir)
 

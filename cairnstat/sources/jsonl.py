@@ -88,15 +88,17 @@ def canonical_lines(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def write_canonical(df: DataFrame, path: str, order: list[str]) -> str:
-    """SNK2: canonical lines, and the digest of all of them in order.
+    """SNK2: canonical lines, and the SHA-256 of the file that they make, whatever the partitioning.
 
-    The lines are range-sorted and written in parallel; the digest is that of the parts'
-    digests in order, so no task sees all rows.
+    The lines are range-sorted and written in parallel. A digest of bytes in order can't be
+    made in parts, so the lines then run through the driver once, one partition at a time.
     """
     lines = materialize(canonical_lines(df, order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "canonical")
     lines.repartitionByRange("at").sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
-    parts = lines.groupBy("part").agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("at", F.sha2("value", 256).alias("h")))), lambda x: x["h"])), 256).alias("h")).orderBy("part")
-    return hashlib.sha256("\n".join(r["h"] for r in parts.select("h").toLocalIterator()).encode()).hexdigest()
+    digest = hashlib.sha256()
+    for r in lines.orderBy("part", "at").select("value").toLocalIterator(prefetchPartitions=True):
+        digest.update(r["value"].encode() + b"\n")
+    return digest.hexdigest()
 
 
 def canonical_json(payload: dict) -> tuple[str, str]:
@@ -105,6 +107,31 @@ def canonical_json(payload: dict) -> tuple[str, str]:
     return text, hashlib.sha256(text.encode()).hexdigest()
 
 
+def write_exclusions(ids: DataFrame, path: str, expected: int | None = None, max_ids: int = 5_000_000) -> str:
+    """SNK6, AGG31: the distinct ids, sorted, in one document; a number other than the expected one is an error. Returns the digest of its bytes."""
+    spark = ids.sparkSession
+    found = sorted(r[0] for r in ids.where(F.col(ids.columns[0]).isNotNull()).distinct().limit(max_ids + 1).collect())
+    if len(found) > max_ids:
+        raise ValueError(f"more than {max_ids} ids in one document")
+    if expected is not None and len(found) != expected:
+        raise ValueError(f"{len(found)} ids, expected {expected}")
+    text, digest = canonical_json({"count": len(found), "item_ids": found})
+    _write_text(spark, path, text)
+    return digest
+
+
+def _write_text(spark: SparkSession, name: str, body: str) -> None:
+    """A small file, whole or not at all."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path, tmp = jvm.org.apache.hadoop.fs.Path(name), jvm.org.apache.hadoop.fs.Path(name + ".tmp")
+    fs = path.getFileSystem(conf)
+    out = fs.create(tmp, True)
+    out.write(bytearray(body.encode()))
+    out.close()
+    fs.delete(path, False)
+    fs.rename(tmp, path)
+
+
 def append_new(df: DataFrame, path: str, key: str = "record_key") -> int:
     """SNK4: append the rows whose key isn't there yet, the first of equal keys within the batch; returns how many."""
     spark = df.sparkSession
@@ -117,19 +144,15 @@ def append_new(df: DataFrame, path: str, key: str = "record_key") -> int:
     return n
 
 
-def write_block(df: DataFrame, root: str, model: str, block: int, meta: dict) -> str:
-    """SNK5: one block and then, once it is whole, its sidecar with the digest. A block is small by design (its size is its bound)."""
+def write_block(df: DataFrame, root: str, model: str, block: int, meta: dict, max_rows: int = 100_000) -> str:
+    """SNK5: one block and then, once it is whole, its sidecar with the digest. A block of more than max_rows is an error."""
     spark = df.sparkSession
-    text = "".join(r["value"] + "\n" for r in canonical_lines(df, df.columns[:1]).collect())
+    rows = canonical_lines(df, df.columns[:1]).limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"a block of more than {max_rows} rows")
+    text = "".join(r["value"] + "\n" for r in rows)
     digest = hashlib.sha256(text.encode()).hexdigest()
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     base = f"{root.rstrip('/')}/{model}/blocks/block_{block:04d}"
-    for name, body in ((f"{base}.jsonl", text), (f"{base}.meta.json", json.dumps(meta | {"block_index": block, "record_count": df.count(), "sha256": digest}, sort_keys=True))):
-        path, tmp = jvm.org.apache.hadoop.fs.Path(name), jvm.org.apache.hadoop.fs.Path(name + ".tmp")
-        fs = path.getFileSystem(conf)
-        out = fs.create(tmp, True)
-        out.write(bytearray(body.encode()))
-        out.close()
-        fs.delete(path, False)
-        fs.rename(tmp, path)
+    for name, body in ((f"{base}.jsonl", text), (f"{base}.meta.json", json.dumps(meta | {"block_index": block, "record_count": len(rows), "sha256": digest}, sort_keys=True))):
+        _write_text(spark, name, body)
     return digest
