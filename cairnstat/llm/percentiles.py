@@ -78,22 +78,48 @@ def summarize(freq: DataFrame, groups: list[str], epsilon: float, points: list[f
     return kept.select(*groups, VALUE, (F.col("_cs_cum") - F.coalesce(last, F.lit(0))).alias(COUNT))
 
 
-def misplaced_edges(strata: DataFrame, scores: DataFrame, tolerance: float = 0.02) -> DataFrame:
+def _cover(low, high, level: int, top: int, fan: int):
+    """The nodes (level, node) that make up the blocks from low to high: node n of level l is the fan^l blocks from n fan^l."""
+    kind = "array<struct<level:int,node:bigint>>"
+
+    def own(a, b):
+        return F.when(a <= b, F.transform(F.sequence(a, b), lambda x: F.struct(F.lit(level).alias("level"), x.alias("node")))).otherwise(F.array().cast(kind))
+
+    if level == top:
+        return own(low, high)
+    first, last = F.floor((low + (fan - 1)) / fan), F.floor((high + 1) / fan) - 1
+    parts = F.concat(own(low, first * fan - 1), _cover(first, last, level + 1, top, fan), own((last + 1) * fan, high))
+    return F.when(first <= last, parts).otherwise(own(low, high))
+
+
+def misplaced_edges(strata: DataFrame, scores: DataFrame, tolerance: float = 0.02, fan: int = 64) -> DataFrame:
     """freeze_id of frozen edge pairs of which an edge's rank lies beyond the tolerance from 1/3 or 2/3 of its pool.
 
     The rank of an edge is any value between the share of the pool below it and the share
-    up to it. Counts are read per block, exactly, and added over the block range. A pool
-    without values and an edge that is null or NaN have no rank and are no case.
+    up to it. Counts are read, exactly, per block and, where there are more than ``fan``
+    blocks, per ``fan`` blocks and so on, and added over the nodes that make up the block
+    range: 2 fan of a level at most, however many blocks a range spans. A pool without
+    values and an edge that is null or NaN have no rank and are no case.
     """
-    groups = ["model_key", "knowledge_group", "block_no"]
+    groups = ["model_key", "knowledge_group", "level", "node"]
+    ranges = strata.where("block_from <= block_to")
     wanted = strata.select("model_key", "knowledge_group").distinct()
     pool = scores.join(wanted, ["model_key", "knowledge_group"], "left_semi")
     points = split_points(pool, "parametric_margin")
-    freq = value_frequencies(pool, groups, "parametric_margin", "score_id")
+    first, last = ranges.agg(F.min("block_from"), F.max("block_to")).first()
+    if first is None:
+        return strata.select("freeze_id").limit(0)
+    top, spanned = 0, last - first + 1
+    while spanned > fan:
+        top, spanned = top + 1, -(-spanned // fan)
+    block = F.col("block_no").cast("bigint") - F.lit(first)
+    nodes = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(block / F.lit(fan**k)).alias("node")) for k in range(top + 1)])).alias("x")
+    freq = value_frequencies(pool, ["model_key", "knowledge_group", "block_no"], "parametric_margin", "score_id")
+    freq = merge_frequencies(freq.select("model_key", "knowledge_group", VALUE, COUNT, nodes).select("model_key", "knowledge_group", "x.*", VALUE, COUNT), groups) if top else freq.select("model_key", "knowledge_group", F.lit(0).alias("level"), block.alias("node"), VALUE, COUNT)
+    low, high = F.col("block_from").cast("bigint") - F.lit(first), F.col("block_to").cast("bigint") - F.lit(first)
     asked = (
-        strata.where("block_from <= block_to")
-        .select("freeze_id", "model_key", "knowledge_group", F.explode(F.sequence("block_from", "block_to")).alias("block_no"), "edges")
-        .select("freeze_id", "model_key", "knowledge_group", "block_no", F.posexplode("edges").alias("edge_no", VALUE))
+        ranges.select("freeze_id", "model_key", "knowledge_group", F.explode(_cover(low, high, 0, top, fan)).alias("x"), "edges")
+        .select("freeze_id", "model_key", "knowledge_group", "x.*", F.posexplode("edges").alias("edge_no", VALUE))
         .where("edge_no < 2")
     )
     read = ranks(freq, groups, asked, ["freeze_id", "edge_no"], points)

@@ -88,3 +88,20 @@ def test_misplaced_edges_on_a_fixture(spark):
     st = [(1, 0, 2, [100.0, 200.0]), (2, 0, 2, [100.0, 207.0]), (3, 0, 2, [92.0, 200.0]), (4, 1, 1, [100.0, 200.0]), (5, 7, 9, [0.0, 0.0]), (6, 2, 1, [0.0, 0.0]), (7, 0, 2, None), (8, 0, 2, [100.0, None]), (9, 0, 2, [105.9, 205.9])]
     strata = spark.createDataFrame([(i, "m", "KC", a, b, e) for i, a, b, e in st], "freeze_id long, model_key string, knowledge_group string, block_from int, block_to int, edges array<double>")
     assert sorted(r.freeze_id for r in P.misplaced_edges(strata, s).collect()) == [2, 3]
+
+
+def test_misplaced_edges_over_many_blocks_against_counting(spark):
+    import random
+
+    rng = random.Random(7)
+    scores = [(k, "m", "KC", rng.randrange(40), float(rng.randrange(60))) for k in range(1500)]
+    s = spark.createDataFrame(scores, "score_id long, model_key string, knowledge_group string, block_no int, parametric_margin double")
+    st = [(i, *sorted((rng.randrange(40), rng.randrange(40))), [rng.uniform(17, 23), rng.uniform(37, 43)]) for i in range(80)] + [(80, 0, 39, [20.0, 40.0]), (81, 3, 3, [20.0, 40.0]), (82, 30, 90, [10.0, 40.0])]
+    strata = spark.createDataFrame([(i, "m", "KC", a, b, e) for i, a, b, e in st], "freeze_id long, model_key string, knowledge_group string, block_from int, block_to int, edges array<double>")
+    want = []
+    for i, a, b, edges in st:
+        pool = [v for _, _, _, block, v in scores if a <= block <= b]
+        if pool and any(sum(v < e for v in pool) / len(pool) > t / 3 + 0.02 or sum(v <= e for v in pool) / len(pool) < t / 3 - 0.02 for t, e in enumerate(edges, 1)):
+            want.append(i)
+    for fan in (2, 4, 64):
+        assert sorted(r.freeze_id for r in P.misplaced_edges(strata, s, fan=fan).collect()) == want
