@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import digest, text
 from ..operators import classify, contrasts, dedup, expand, ingest, runner, sampling, strata, summaries, verify
 from ..session import table
-from .catalog import _BY_RELATION, _EDGES, _IDENTIFIED, EVIDENCE, _by_relation, _identified, query
+from .catalog import QUERIES, _BY_RELATION, _EDGES, _IDENTIFIED, EVIDENCE, _by_relation, _identified, query
 from .fixtures import RELATIONS, cte, view
 
 _PRIMARY, _REVIEW, _EXCLUDED = ["country", "sport", "genre", "father"], ["mother"], ["place of birth"]
@@ -203,3 +203,35 @@ def q116_status_breaks(spark, sf_dir):
     d = d.withColumns({"status": status, "reason": F.when(bad, " ").otherwise("disabled")})
     legal = [(s, g) for s in ("SECONDARY", "NOT APPLICABLE") for g in ("KC", "KW")]
     return classify.status_breaks(d, "status", "knowledge_group", "reason", legal).select("score_id", "breach")
+
+
+@query("REG3 REG5", "with recursive " + cte("trial")[5:] + """
+, d as (select model_key, item_id, cast(context_adopted as int) as y, margin as x from trial where conflict_status = 'conflict' and margin is not null and context_adopted is not null),
+st as (
+  select 0 as k, model_key, 0.0::double as b0, 0.0::double as b1 from (select distinct model_key from d)
+  union all
+  select k + 1, model_key, b0 + (h11 * u0 - h01 * u1) / (h00 * h11 - h01 * h01), b1 + (h00 * u1 - h01 * u0) / (h00 * h11 - h01 * h01)
+  from (select k, model_key, max(b0) as b0, max(b1) as b1, sum(p * (1 - p)) as h00, sum(p * (1 - p) * x) as h01, sum(p * (1 - p) * x * x) as h11, sum(y - p) as u0, sum((y - p) * x) as u1
+        from (select k, st.model_key, b0, b1, x, y, 1 / (1 + exp(-(b0 + b1 * x))) as p from st join d on d.model_key = st.model_key) group by k, model_key)
+  where k < 25),
+f as (select d.*, b0, b1, 1 / (1 + exp(-(b0 + b1 * x))) as p from d join st on st.model_key = d.model_key and st.k = 25),
+i as (select model_key, max(b0) as b0, max(b1) as b1, count(*) as n, sum(p * (1 - p)) as h00, sum(p * (1 - p) * x) as h01, sum(p * (1 - p) * x * x) as h11 from f group by 1),
+c as (select model_key, item_id, sum(y - p) as s0, sum((y - p) * x) as s1 from f group by 1, 2),
+m as (select model_key, count(*) as g, sum(s0 * s0) as m00, sum(s0 * s1) as m01, sum(s1 * s1) as m11 from c group by 1),
+v as (select *, h11 / (h00 * h11 - h01 * h01) as a, -h01 / (h00 * h11 - h01 * h01) as b, h00 / (h00 * h11 - h01 * h01) as e, g::double / (g - 1) * (n - 1) / (n - 2) as fa from i join m using (model_key))
+select model_key, 'intercept' as term, round(b0, 6) as estimate, round(sqrt(fa * (a * a * m00 + 2 * a * b * m01 + b * b * m11)), 6) as std_error, n from v
+union all select model_key, 'margin', round(b1, 6), round(sqrt(fa * (b * b * m00 + 2 * b * e * m01 + e * e * m11)), 6), n from v""")
+def q117_margin_estimates(spark, sf_dir):
+    """Newton steps and the sandwich over items, as in q81, in places that two engines agree on."""
+    return QUERIES["q81_margin_effect"](spark, sf_dir).select("model_key", "term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"), "n")
+
+
+@query("REG4", cte("trial") + """
+, c as (select relation, source_role = 'preferred' as s, count(*) as n, count(*) filter (context_adopted) as y from trial where context_adopted is not null and relation is not null group by 1, 2),
+q as (select relation, max(case when not s then ln((y + 0.5) / (n - y + 0.5)) end) as l0, max(case when s then ln((y + 0.5) / (n - y + 0.5)) end) as l1, cast(sum(n) as bigint) as n,
+      max(case when not s then (n + 1.0) * (n + 1.0) / (n * (y + 0.5) * (n - y + 0.5)) end) as v0, max(case when s then (n + 1.0) * (n + 1.0) / (n * (y + 0.5) * (n - y + 0.5)) end) as v1 from c group by 1)
+select relation, 'intercept' as term, round(l0, 6) as estimate, round(sqrt(v0), 6) as std_error, n from q union all select relation, 'preferred', round(l1 - l0, 6), round(sqrt(v0 + v1), 6), n from q""")
+def q118_firth_estimates(spark, sf_dir):
+    """With one binary term the penalised fit has a closed form: half a case more in each cell."""
+    out = QUERIES["q82_firth"](spark, sf_dir).where("relation is not null")
+    return out.select("relation", "term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"), "n")
