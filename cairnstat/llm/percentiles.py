@@ -92,7 +92,7 @@ def _cover(low, high, level: int, top: int, fan: int):
     return F.when(first <= last, parts).otherwise(own(low, high))
 
 
-def misplaced_edges(strata: DataFrame, scores: DataFrame, tolerance: float = 0.02, fan: int = 64) -> DataFrame:
+def misplaced_edges(strata: DataFrame, scores: DataFrame, tolerance: float = 0.02, fan: int = 1024) -> DataFrame:
     """freeze_id of frozen edge pairs of which an edge's rank lies beyond the tolerance from 1/3 or 2/3 of its pool.
 
     The rank of an edge is any value between the share of the pool below it and the share
