@@ -305,8 +305,8 @@ def q27_membership(spark, sf_dir):
 
 # ---- conditions, prompts, dedup ----------------------------------------------------------
 
-#: The places of the evidence text.
-EVIDENCE = 'Source: {source}\n\nStatement:\nThe answer to the question about "{subj}" is "{asserted_answer}".\n'
+#: A text of our own with the places that evidence has.
+EVIDENCE = 'Asked about "{subj}", {source} gave this reply: "{asserted_answer}".\nHow would you reply?\n'
 _SOURCE_A, _SOURCE_B = "a government website", "an anonymous online forum post"
 
 
@@ -348,7 +348,7 @@ def _identified(spark, sf_dir):
 
 _IDENTIFIED = _PLANNED + """
 , r as (select *, case when p_size % 3 = 0 then 'm1' else 'm2' end as model_key, case when condition = 'C0' then 'None' else
-        concat('Source: ', source_label, chr(10), chr(10), 'Statement:', chr(10), 'The answer to the question about "', subj, '" is "', asserted_answer, '".', chr(10)) end as prompt from q),
+        concat('Asked about "', subj, '", ', source_label, ' gave this reply: "', asserted_answer, '".', chr(10), 'How would you reply?', chr(10)) end as prompt from q),
 h as (select *, sha256(prompt) as prompt_hash from r),
 o as (select *, substr(sha256(concat('phase3|', model_key, '|UNRESOLVED|', item_id, '|', prompt_hash, '|v1|', substr(sha256('do_sample=False|num_beams=1|max_new_tokens=32'), 1, 16), '|42')), 1, 32) as observation_id from h)
 """
