@@ -64,8 +64,12 @@ def compare_counts(planned: DataFrame, recorded: DataFrame, key: str, number: st
 
 
 def outcomes(aliases: DataFrame, observations: DataFrame, outcome: str) -> DataFrame:
-    """JN7: every planned slot with its observation's outcome; a slot without one is an error when the plan runs."""
-    joined = aliases.join(observations.select("observation_id", outcome), "observation_id", "left")
+    """JN7: every planned slot with its observation's outcome; a slot without one is an error when the plan runs.
+
+    There are about as many observations as slots, and behind an expanded plan the optimizer
+    takes them for few, so they must not be broadcast: both sides are sorted.
+    """
+    joined = aliases.join(observations.select("observation_id", outcome).hint("merge"), "observation_id", "left")
     return joined.withColumn(outcome, F.when(F.col(outcome).isNull(), F.raise_error(F.lit("a planned slot has no outcome")).cast("boolean")).otherwise(F.col(outcome)))
 
 

@@ -148,6 +148,15 @@ def test_slot_without_outcome_is_an_error(spark):
         dedup.outcomes(dedup.alias_map(ident), spark.createDataFrame([], "observation_id string, y boolean"), "y").collect()
 
 
+def test_outcomes_are_never_broadcast(spark):
+    ident = dedup.identify(requests(spark), "prompt", F.lit("rev"), "v1", F.lit("fp"), 42)
+    joined = dedup.outcomes(dedup.alias_map(ident), ident.select("observation_id").distinct().withColumn("y", F.lit(True)), "y")
+    assert joined.count() == ident.count() and joined.where("y").count() == ident.count()
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_missing_side_leaves_the_item_out(spark):
     d = spark.createDataFrame([("i1", "a", True), ("i1", "b", False), ("i2", "a", True), ("i3", "b", True), ("i3", "a", None)], "i string, s string, y boolean")
     paired = contrasts.pair_items(d, ["i"], "s", "y", F.lit("a"), F.lit("b"))
