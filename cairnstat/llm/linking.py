@@ -13,9 +13,11 @@ similarity: every telling word of an entry must be met, exactly or within a boun
 of edits, and every word of the value must belong to the entry, as a whole word, an
 initial, a shortened word (its letters in order, the first one in place), a particle (a
 word that the list writes small inside its names) or in a frame.
+A name whose words all belong to many entries has no telling word; its words tell together,
+so each of them must be met, at least one not only by an initial or a shortened word.
 Candidates come from an index of the entry's words with up to three letters left out, so no
 value is compared with all entries; words too long for that index meet the entry's words of
-about their length.
+about their length. Names without a telling word are counted by their words that are met.
 
 A value that fits several entries equally well is reported as unmatched. Null values have
 no match and no row; blank values, and values of frames only, are unmatched. The list is
@@ -24,9 +26,10 @@ broadcast; its size is checked.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import ahocorasick
@@ -51,7 +54,6 @@ class LinkParams:
     index_word: int = 20  # longer words aren't indexed with letters left out
     frame_entities: int = 5
     frame_share: float = 0.005
-    frame_words: int = 12  # longer phrases make no frame
     max_frames: int = 100_000
     max_entities: int = 200_000
 
@@ -110,12 +112,53 @@ def shortens(word: str, whole: str) -> bool:
     return all(c in rest for c in word)
 
 
+class Near:
+    """Words by the words within a number of edits. most: of each word."""
+
+    def __init__(self, words, most, params: LinkParams):
+        self.words, self.most, self.p = words, most, params
+        self.left_out: dict[str, set[str]] = defaultdict(set)
+        self.long: dict[int, list[str]] = defaultdict(list)
+        for w in words:
+            if len(w) > params.index_word:
+                self.long[len(w)].append(w)
+            else:
+                for s in _shortened(w, most(w)):
+                    self.left_out[s].add(w)
+
+    def __call__(self, word: str) -> dict[str, int]:
+        if word in self.words:
+            return {word: 0}
+        p, near = self.p, {}
+        met = {t for k in range(len(word) - 3, len(word) + 4) for t in self.long.get(k, ())}
+        if len(word) <= p.index_word:
+            most = 3 if len(word) >= p.three_edits - 3 else 2 if len(word) >= p.long_word - 1 else 0 if len(word) < 4 else 1
+            met |= {t for s in _shortened(word, most) for t in self.left_out.get(s, ())}
+        else:
+            met |= {t for k in range(len(word) - 3, p.index_word + 1) for t in self.short_ends.get(k, ())}
+        for t in met:
+            d = edits(word, t, 3)
+            if d <= self.most(t):
+                near[t] = d
+        return near
+
+    @functools.cached_property
+    def short_ends(self) -> dict[int, list[str]]:
+        """The longest of the words that are indexed, by length."""
+        out = defaultdict(list)
+        for w in self.words:
+            if self.p.index_word - 3 < len(w) <= self.p.index_word:
+                out[len(w)].append(w)
+        return out
+
+
 class Linker:
     """The canonical list compiled for lookup. frames: (side, phrase) of phrases before or after a mention that tell nothing."""
 
     def __init__(self, entries: list[tuple], form: Transducer, params: LinkParams = LinkParams(), frames: frozenset[tuple[str, tuple[str, ...]]] = frozenset()):
         self.form, self.p, self.frames = form, params, frames
         self.frame_words = {w for _, phrase in frames for w in phrase}
+        self.longest = max((len(phrase) for _, phrase in frames), default=0)
         self.names: list[tuple[int, tuple[str, ...]]] = []
         seen = set()
         self.own: dict[int, set[str]] = defaultdict(set)
@@ -147,14 +190,14 @@ class Linker:
         for k, (_, words) in enumerate(self.names):
             for w in set(words) - self.common:
                 self.telling[w].append(k)
-        self.near: dict[str, set[str]] = defaultdict(set)
-        self.long: dict[int, list[str]] = defaultdict(list)
-        for w in self.telling:
-            if len(w) > params.index_word - 3:
-                self.long[len(w)].append(w)
-            if len(w) <= params.index_word:
-                for s in _shortened(w, self._most(w)):
-                    self.near[s].add(w)
+        # names without a telling word, by each of their words
+        self.together: dict[str, list[int]] = defaultdict(list)
+        for k, (_, words) in enumerate(self.names):
+            if self.common.issuperset(words):
+                for w in set(words):
+                    self.together[w].append(k)
+        self.near = Near(self.telling, self._most, params)
+        self.near_together = Near(self.together, self._allowed, params)
         exact = defaultdict(set)
         for entity_id, words in self.names:
             exact[self._key(words)].add(entity_id)
@@ -180,7 +223,7 @@ class Linker:
         """Whether the words are frames of that side, one after another."""
         reached = [True] + [False] * len(words)
         for e in range(1, len(words) + 1):
-            reached[e] = any(reached[b] and (side, words[b:e]) in self.frames for b in range(max(0, e - self.p.frame_words), e))
+            reached[e] = any(reached[b] and (side, words[b:e]) in self.frames for b in range(max(0, e - self.longest), e))
         return reached[-1]
 
     def _mentions(self, words: tuple[str, ...]) -> list[tuple[int, int, tuple[int, ...]]]:
@@ -202,7 +245,7 @@ class Linker:
             return []
         first, last, (entity_id,) = found[0]
         sides = (("before", words[:first]), ("after", words[last:]))
-        return [(side, " ".join(x), entity_id) for side, x in sides if 0 < len(x) <= self.p.frame_words and not self.own[entity_id].intersection(x)]
+        return [(side, " ".join(x), entity_id) for side, x in sides if x and not self.own[entity_id].intersection(x)]
 
     def link(self, value: str) -> tuple[tuple[int, ...], str]:
         """(entities that fit best, how): how is embedded, similar or unmatched."""
@@ -231,29 +274,30 @@ class Linker:
         ids = set(hits[0][2]).intersection(*[h[2] for h in hits[1:]])
         return (tuple(sorted(ids)), "embedded") if ids else ((), "unmatched")
 
-    def _candidates(self, word: str) -> dict[str, int]:
-        """Telling words within the edits allowed."""
-        if word in self.telling:
-            return {word: 0}
-        near: dict[str, int] = {}
-        if len(word) <= self.p.index_word:
-            most = 3 if len(word) >= self.p.three_edits - 3 else self._allowed(word) if len(word) < self.p.long_word - 1 else 2
-            met = {t for s in _shortened(word, most) for t in self.near.get(s, ())}
-        else:
-            met = {t for k in range(len(word) - 3, len(word) + 4) for t in self.long.get(k, ())}
-        for t in met:
-            d = edits(word, t, 3)
-            if d <= self._most(t):
-                near[t] = d
-        return near
+    def _met_together(self, words) -> list[int]:
+        """Names without a telling word all of whose words may be met."""
+        met: Counter[int] = Counter()
+        reached = {t for w in set(words) if w in self.together or w not in self.frame_words for t in self.near_together(w)}
+        for t in reached:
+            met.update(self.together[t])
+        # what else meets a word: initials, and shortened words
+        spare = [w for w in set(words) if len(w) == 1 or (w not in self.together and w not in self.telling)]
+        out = []
+        for k, number in met.items():
+            own = set(self.names[k][1])
+            if len(own) - number <= len(spare) and all(any(v == t[0] if len(v) == 1 else shortens(v, t) for v in spare) for t in own - reached):
+                out.append(k)
+        return out
 
     def _similar(self, words):
         candidates = set()
         for w in set(words):
             if w in self.common or (w in self.frame_words and w not in self.telling):
                 continue
-            for t in self._candidates(w):
+            for t in self.near(w):
                 candidates.update(self.telling[t])
+        if self.together:
+            candidates.update(self._met_together(words))
         best, ids = None, set()
         for k in candidates:
             entity_id, name = self.names[k]
@@ -295,7 +339,7 @@ class Linker:
                 total += d
                 worst = max(worst, d)
         # joined or split words: nothing telling may be left of the entry
-        if any(t not in self.common for t in left) or len(name) == len(left):
+        if any(t not in self.common for t in left) or len(name) == len(left) or (left and self.common.issuperset(name)):
             return None
         if worst > 2 and total > worst or total > 3:
             return None

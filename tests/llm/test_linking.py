@@ -56,6 +56,31 @@ def test_three_edits_of_a_long_word_are_met():
     assert linker.link("k" * 15 + "lmnop" * 3 + "lmxoq")[0] == (2,)
 
 
+def test_names_without_a_telling_word_are_met_by_all_their_words():
+    firsts, seconds = ["".join(c) + "er" for c in __import__("itertools").product("bdfgkl", "aou", "mn")][:14], ["Hall", "Bridge", "Quay", "Harbour", "Market", "Chapel", "Gardens", "Wharf", "Junction", "Meadow", "Orchard", "Priory", "Terrace", "Viaduct"]
+    entries = [(100 * i + j, f"{a.title()} {b}", None) for i, a in enumerate(firsts) for j, b in enumerate(seconds)]
+    linker = L.Linker(entries, Transducer([]), L.LinkParams(), frozenset({("before", ("the",))}))
+    assert not linker.telling and len(linker.together) == 28
+    first = firsts[3].title()
+    for value, fits in [(f"Harbour, {first}", (303,)), (f"the Harbuor {first}", (303,)), (f"{first} Harbuor", (303,)), (f"Gardns, {first}", (306,)), (f"{first} Jct", (308,)), (f"{first} Jnctn", (308,)), ("Harbour", ()), (first, ()), (f"South {first} Harbour", ()), (f"Harbour {first} Quay", ())]:
+        assert linker.link(value)[0] == fits, value
+
+
+@pytest.mark.parametrize("whole", [18, 19, 20, 21, 22, 23, 24])
+@pytest.mark.parametrize("change", [-3, -2, -1, 1, 2, 3])
+def test_words_about_the_length_of_the_index_are_met(whole, change):
+    name = "klaizakladonimortexuvwyb"[:whole]
+    value = name[:5] + name[5 - change :] if change < 0 else name[:5] + "qqq"[:change] + name[5:]
+    assert L.Linker([(1, name, None), (2, "Drezit", None)], Transducer([])).link(value)[0] == (1,)
+
+
+def test_frames_of_any_length():
+    phrase = tuple(f"w{k}x" for k in range(15))
+    linker = L.Linker([(1, "Drezit", None)], Transducer([]), L.LinkParams(), frozenset({("before", phrase)}))
+    assert linker.link(" ".join(phrase) + " Drezit")[0] == (1,) and linker.link(" ".join(phrase[1:]) + " Drezit")[0] == ()
+    assert linker.around(" ".join(phrase) + " Drezit") == [("before", " ".join(phrase), 1)]
+
+
 def test_frames_are_learnt_from_the_values(spark):
     names = ["".join(c) for c in __import__("itertools").product(("Dre", "Zor", "Kla", "Bri"), ("zit", "art", "klad", "twex", "gorn", "mip"))]
     e = spark.createDataFrame([(k, n, None) for k, n in enumerate(names)], "entity_id long, gold_answer string, gold_aliases array<string>")
